@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from plumbline.plans import calibrating, describing, ranking  # noqa: F401
+from plumbline.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
