@@ -204,6 +204,10 @@ def retry_policy(category: Column, attempt: Column) -> Column:
 
 
 def snippet(text: Column, most: int) -> Column:
-    """The text on one line, cut with dots if it is longer."""
-    line = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 3), F.lit("...")))
+    """The start of a text on one line, with dots if more follows."""
+    line = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.concat(F.substring(line, 1, most), F.when(F.length(line) > most, "...").otherwise(""))
+
+
+def intervention(kept: Column, length: Column) -> Column:
+    return F.when(kept == 0, "no_reasoning_baseline").when(kept >= length, "full_chain").otherwise("partial_reasoning")

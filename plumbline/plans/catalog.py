@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import calibrating, describing, ranking  # noqa: F401
+from plumbline.plans import calibrating, describing, lifecycle, ranking, records  # noqa: F401
 from plumbline.plans.registry import QUERIES, SQL
 
 
