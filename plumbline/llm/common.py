@@ -74,9 +74,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_columns(df: DataFrame, *needed: str) -> DataFrame:
-    """The named columns only, so that other columns of a caller's table can't clash."""
-    return df.select(*[F.col(f"`{c}`") for c in needed])
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

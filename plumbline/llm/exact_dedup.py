@@ -17,13 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE, scratch, stage
+from plumbline.llm.common import SPACE, fresh, scratch, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
 INBOX = "id BIGINT, digest STRING, place STRING"
 
 
@@ -67,8 +67,9 @@ class ExactDedup:
             .groupBy("digest")
             .agg(F.min(entry).alias("first"), F.count(F.lit(1)).alias("n"))
         )
-        before = spark.conf.get(PROVIDER, None)
-        spark.conf.set(PROVIDER, ROCKSDB)
+        before = {k: spark.conf.get(k) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         try:
             # Totals only grow, so a digest's last row holds; a batch written twice changes nothing.
             query = (
@@ -80,10 +81,8 @@ class ExactDedup:
             )
             query.awaitTermination()
         finally:
-            if before is None:
-                spark.conf.unset(PROVIDER)
-            else:
-                spark.conf.set(PROVIDER, before)
+            for k, v in before.items():
+                spark.conf.set(k, v)
 
     def _emit(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/groups/batch={batch:08d}")
@@ -144,13 +143,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of rows that repeat an identifier and its text, one."""
-    from pyspark.sql import Window
-
-    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__key", sha256(normalised(F.col(f"`{text_col}`"))))
-    rows = rows.join(verdict, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")))
-    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("__sha"))
-    return rows.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ident, sha, key, nth = (fresh(docs, c) for c in ("__id", "__sha", "__key", "__nth"))
+    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)).distinct()
+    rows = docs.withColumn(key, sha256(normalised(F.col(f"`{text_col}`"))))
+    rows = rows.join(verdict, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(sha)))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(ident, sha).orderBy(sha)))
+    return rows.where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

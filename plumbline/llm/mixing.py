@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stage
@@ -44,10 +44,11 @@ class Mix:
 PRODUCTION = Mix()
 
 
-def leaves(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` with columns __domain, __lang, __source."""
-    named = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    return named.withColumn("__domain", F.expr(mix.domain.replace("source", "__source"))).withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
+def leaves(docs: DataFrame, mix: Mix, id_col: str, *more: Column) -> DataFrame:
+    """doc_id, domain, lang, source and more of each row; no other name of the table gets in the way."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), named("lang"), named("source"), *more)
+    return rows.withColumn("domain", F.expr(mix.domain))
 
 
 def order(mix: Mix, epoch, ident):
@@ -97,32 +98,28 @@ def plan(rows: DataFrame, mix: Mix) -> DataFrame:
     return goals.join(cuts, LEAF, "left").select(*LEAF, "whole", "cut")
 
 
-def _taken(rows: DataFrame, goals: DataFrame, mix: Mix, names: list[str], ident: str) -> DataFrame:
-    """``rows`` with a row for each epoch that takes it, in column __epoch."""
-    goals = goals.select(*[F.col(c).alias(f"__leaf_{c}") for c in LEAF], F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    on = [F.col(a) == F.col(f"__leaf_{b}") for a, b in zip(names, LEAF, strict=True)]
-    joined = rows.join(goals, on)
-    extra = F.coalesce(order(mix, F.col("__whole"), F.col(f"`{ident}`")) <= F.col("__cut"), F.lit(False))
-    n = F.col("__whole") + extra.cast("int")
-    return joined.withColumn("__n", n).where("__n > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+def _taken(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
+    """``rows`` with a row for each epoch that takes it, in column epoch."""
+    extra = F.coalesce(order(mix, F.col("whole"), F.col("doc_id")) <= F.col("cut"), F.lit(False))
+    joined = rows.join(goals, LEAF).withColumn("times", F.col("whole") + extra.cast("int"))
+    return joined.where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
 
 
 def counted(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = leaves(docs, mix)
-    return stage(rows.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), word_count(F.col(f"`{text_col}`")).alias("n_tokens")), "mix-docs")
+    return stage(leaves(docs, mix, id_col, word_count(F.col(f"`{text_col}`")).alias("n_tokens")), "mix-docs")
 
 
 def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epoch: a row for each time that a document is taken."""
     rows = counted(docs, mix)
-    return _taken(rows, plan(rows, mix), mix, LEAF, "doc_id").select("doc_id", *LEAF, "n_tokens", F.col("__epoch").alias("epoch"))
+    return _taken(rows, plan(rows, mix), mix).select("doc_id", *LEAF, "n_tokens", "epoch")
 
 
 def take(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it does, with their columns."""
     goals = stage(plan(counted(docs, mix, id_col, text_col), mix), "mix-plan")
-    rows = _taken(leaves(docs, mix), goals, mix, ["__domain", "__lang", "__source"], id_col)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return _taken(leaves(docs, mix, id_col, whole), goals, mix).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, stage
+from plumbline.llm.common import chunks, fresh, stage
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: A bucket with more distinct fingerprints is hashed again.
@@ -175,9 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges, mark = stage(edges, "links"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # The least neighbours are a table of their own: a join of two exchanges can be split at a hub.
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "stars-large")
+        large = stage(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars-mid")
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "stars-small")
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         edges = stage(small, "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -193,14 +194,15 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, split: int = SPLIT, id_col
     fps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(fps, radius, split))
     placed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = stage(placed.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
     return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest identifier of their component."""
-    stay = near_dedup(docs, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
+    ident = fresh(docs, "__id")
+    stay = near_dedup(docs, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(stay, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(ident)), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
