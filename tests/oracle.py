@@ -22,7 +22,7 @@ def cell(v):
     if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "NULL"
     if isinstance(v, float):
-        return repr(round(float(v), 10))
+        return str(int(v)) if float(v).is_integer() else repr(round(float(v), 10))  # integers with nulls come as floats
     return str(list(v)) if hasattr(v, "tolist") and hasattr(v, "__len__") else str(v)
 
 
