@@ -61,6 +61,29 @@ def average_ranks(rows: DataFrame, groups: list[str], value: str, out: str = "ra
     return used.alias("a").join(ranked.select(*groups, value, out).alias("b"), on).select("a.*", f"b.{out}")
 
 
+def percentiles(rows: DataFrame, groups: list[str], value: str, shares: dict[str, float], ranges: int = RANGES) -> DataFrame:
+    """Exact percentiles with linear interpolation, one column for each share; nulls are left out.
+
+    ``percentile`` holds a group's distinct values in one task; here they stay dealt to ranges.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = below(counts, groups, value, ["__c"], ranges)
+    totals = counts.groupBy(*groups).agg(F.sum("__c").alias("__total")) if groups else counts.agg(F.sum("__c").alias("__total"))
+    if groups:
+        names = [f"__g{i}" for i in range(len(groups))]
+        totals = totals.select(*[F.col(g).alias(a) for g, a in zip(groups, names, strict=True)], "__total")
+        on = F.lit(True)
+        for g, a in zip(groups, names, strict=True):
+            on = on & F.col(g).eqNullSafe(F.col(a))
+        ranked = ranked.join(totals, on)
+    else:
+        ranked = ranked.join(F.broadcast(totals))  # one row
+    at = lambda k: F.max(F.when((F.col("__c_below") <= k) & (k < F.col("__c_below") + F.col("__c")), F.col(value).cast("double")))
+    place = {name: F.lit(q) * (F.col("__total") - 1) for name, q in shares.items()}
+    got = ranked.groupBy(*groups).agg(*[c for name, p in place.items() for c in (at(F.floor(p)).alias(f"__lo_{name}"), at(F.ceil(p)).alias(f"__hi_{name}"), F.max(p - F.floor(p)).alias(f"__f_{name}"))])
+    return got.select(*groups, *[(F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * F.col(f"__f_{name}")).alias(name) for name in shares])
+
+
 def spearman(rows: DataFrame, groups: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """Per group: pairs and Pearson correlation of average ranks over rows that have both values."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -91,7 +114,7 @@ def paired_difference(rows: DataFrame, groups: list[str], target: str, scores: l
     pairs = F.inline(F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).cast("double").alias("x")) for s in scores]))
     areas = auroc(common.select(*groups, target, pairs), [*groups, "score_name"], target, "x")
     ref = areas.where(F.col("score_name") == reference).select(*groups, F.col("auroc").alias("ref"))
-    joined = areas.join(F.broadcast(ref), groups) if groups else areas.join(F.broadcast(ref))
+    joined = areas.join(ref, groups) if groups else areas.join(F.broadcast(ref))  # without groups, one row
     return joined.select(*groups, "score_name", "auroc", (F.col("auroc") - F.col("ref")).alias("difference"))
 
 

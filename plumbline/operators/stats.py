@@ -6,15 +6,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.rank import percentiles
+
 
 def describe(rows: DataFrame, groups: list[str], x: str) -> DataFrame:
     """n, mean, median, sample deviation, quartiles, range, extremes and bias-corrected skew."""
     n = F.count(x)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g1 = F.skewness(x)
     skew = F.when((n > 2) & (F.stddev_pop(x) > 0), F.sqrt(n * (n - 1.0)) / F.greatest(n - 2, F.lit(1)) * g1)
-    out = rows.groupBy(*groups).agg(n.alias("n"), F.avg(x).alias("mean"), q.alias("q"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), skew.alias("skew"))
-    return out.select(*groups, "n", "mean", F.col("q")[1].alias("median"), "sd", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "min", "max", "skew")
+    sums = rows.groupBy(*groups).agg(n.alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), skew.alias("skew"))
+    q = percentiles(rows, groups, x, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    out = sums.join(q, groups) if groups else sums.join(F.broadcast(q))  # without groups, one row
+    return out.select(*groups, "n", "mean", "median", "sd", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "min", "max", "skew")
 
 
 def within_differences(rows: DataFrame, keys: list[str], target: str, x: str) -> DataFrame:

@@ -77,8 +77,9 @@ def agg17(t):
 @query("agg18", "SELECT subject, round(median(h_mean) FILTER (correct) - median(h_mean) FILTER (NOT correct), 10) AS difference FROM ev GROUP BY subject")
 def agg18(t):
     """Median of right minus median of wrong runs."""
-    q = lambda c: F.percentile(F.when(c, F.col("h_mean")), F.lit(0.5))
-    return t.ev.groupBy("subject").agg(r(q(F.col("correct")) - q(~F.col("correct")), "difference"))
+    medians = rank.percentiles(t.ev, ["subject", "correct"], "h_mean", {"median": 0.5})
+    of = lambda c: F.max(F.when(c, F.col("median")))
+    return medians.groupBy("subject").agg(r(of(F.col("correct")) - of(~F.col("correct")), "difference"))
 
 
 @query("agg23", "SELECT round(regr_intercept(h_mean, n_think), 8) AS intercept, round(regr_slope(h_mean, n_think), 8) AS slope, round(regr_r2(h_mean, n_think), 8) AS r2 FROM nat")
@@ -122,14 +123,15 @@ def agg25(t):
 
 @query("agg27", "SELECT subject, count(*) AS n, round(avg(h_tail), 10) AS mean, round(median(h_tail), 10) AS median, round(quantile_cont(h_tail, 0.25), 10) AS q25, round(quantile_cont(h_tail, 0.75), 10) AS q75, round(avg(CAST(h_tail <= 0.05 AS INT)), 10) AS near_zero FROM nat GROUP BY subject")
 def agg27(t):
-    q = F.percentile("h_tail", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = t.nat.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.avg("h_tail").alias("mean"), q.alias("q"), F.avg((F.col("h_tail") <= 0.05).cast("int")).alias("near_zero"))
-    return got.select("subject", "n", r("mean", "mean"), r(F.col("q")[1], "median"), r(F.col("q")[0], "q25"), r(F.col("q")[2], "q75"), r("near_zero", "near_zero"))
+    sums = t.nat.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.avg("h_tail").alias("mean"), F.avg((F.col("h_tail") <= 0.05).cast("int")).alias("near_zero"))
+    got = sums.join(rank.percentiles(t.nat, ["subject"], "h_tail", {"median": 0.5, "q25": 0.25, "q75": 0.75}), "subject")
+    return got.select("subject", "n", *[r(c, c) for c in ("mean", "median", "q25", "q75", "near_zero")])
 
 
 @query("agg28", "SELECT idx, count(DISTINCT qid) AS questions, round(avg(ent), 10) AS mean, round(median(ent), 10) AS median, round(avg(CAST(correct AS INT)), 10) AS accuracy FROM ck GROUP BY idx")
 def agg28(t):
-    return t.ck.groupBy("idx").agg(F.countDistinct("qid").alias("questions"), r(F.avg("ent"), "mean"), r(F.percentile("ent", F.lit(0.5)), "median"), r(F.avg(F.col("correct").cast("int")), "accuracy"))
+    sums = t.ck.groupBy("idx").agg(F.countDistinct("qid").alias("questions"), r(F.avg("ent"), "mean"), r(F.avg(F.col("correct").cast("int")), "accuracy"))
+    return sums.join(rank.percentiles(t.ck, ["idx"], "ent", {"median": 0.5}).select("idx", r("median", "median")), "idx")
 
 
 @query("agg29", "m AS (SELECT idx, avg(ck.ent) FILTER (ev.correct) - avg(ck.ent) FILTER (NOT ev.correct) AS gap FROM ck JOIN ev USING (qid, run_id) GROUP BY idx) SELECT round(max(gap), 10) AS gap, max_by(idx, gap) AS idx FROM m")

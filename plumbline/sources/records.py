@@ -157,10 +157,11 @@ def sample_by(df: DataFrame, stratum: str, ident: str, quota: int, seed: int = 4
 
     Each task keeps its own least first, so a stratum isn't sorted in one place.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")).cast("binary"))
-    row = F.struct(key.alias("k"), *[F.col(c) for c in df.columns])
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("k", ident))
-    return df.select(row.alias("r")).select("r.*").withColumn("place", rank - 1).where(F.col("place") < quota).drop("k")
+    key, nth = "__key", "__nth"
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(key, ident))
+    rows = df.withColumn(key, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")).cast("binary"))).withColumn(nth, rank)
+    # The bound on the rank itself is what lets tasks drop the rest before the exchange.
+    return rows.where(F.col(nth) <= quota).withColumn("place", F.col(nth) - 1).drop(key, nth)
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
