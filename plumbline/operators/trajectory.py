@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 SLOTS = 11
 
 
-def slots(ck: DataFrame, run: list[str], index: str, fields: list[str]) -> DataFrame:
-    """One row per run: an array ``slots`` of structs by index; at most eleven are gathered."""
+def gathered(index: str, fields: list[str]) -> Column:
+    """An aggregate of a run's checkpoints; eleven at most are gathered, so its size is bounded."""
     item = F.struct(F.col(index).alias("i"), F.struct(*fields).alias("v"))
-    got = ck.where(F.col(index).between(0, SLOTS - 1)).groupBy(*run).agg(F.collect_list(item).alias("got"))
-    place = lambda i: F.get(F.filter("got", lambda g: g["i"] == i), F.lit(0))["v"]
-    return got.select(*run, F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), place).alias("slots"))
+    return F.collect_list(F.when(F.col(index).between(0, SLOTS - 1), item))
+
+
+def placed(got: str) -> Column:
+    """The gathered checkpoints as an array by index, null where one is missing."""
+    place = lambda i: F.get(F.filter(got, lambda g: g["i"] == i), F.lit(0))["v"]
+    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), place)
 
 
 def walk(column: str = "slots") -> Column:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import SUBJECTS, placement
+from plumbline.operators import trajectory
 
 #: Features in their fixed order.
 FEATURES = [
@@ -99,9 +100,8 @@ class Tables:
         alias = (F.col("idx") > 0) & (k == placement(F.col("idx") - 1, F.col("n_think")))
         return rows.withColumns({"k_keep": k, "alias": alias, "correct": F.col("ans") == F.col("gold")})
 
-    @cached_property
-    def nat(self) -> DataFrame:
-        """Runs: qid, subject, run_id, n_think, gold, n_ck, answer, confidence, h_mean, h_tail, correct."""
+    def _by_run(self, *more: Column) -> DataFrame:
+        """Runs by one aggregation, which needs no exchange after the one that numbered the events."""
         last = F.col("idx") == 10
         out = self.ck.groupBy("qid", "subject", "run_id", "n_think", "gold").agg(
             F.count(F.lit(1)).alias("n_ck"),
@@ -109,9 +109,15 @@ class Tables:
             F.max(F.when(last, F.col("conf"))).alias("confidence"),
             F.avg("ent").alias("h_mean"),
             F.max_by("ent", "idx").alias("h_tail"),
+            *more,
         )
         return out.withColumn("correct", F.col("answer") == F.col("gold"))
 
+    @cached_property
+    def nat(self) -> DataFrame:
+        """Runs: qid, subject, run_id, n_think, gold, n_ck, answer, confidence, h_mean, h_tail, correct."""
+        return self._by_run()
+
     @cached_property
     def ev(self) -> DataFrame:
         """Runs with a verdict."""
@@ -120,16 +126,13 @@ class Tables:
     @cached_property
     def runs(self) -> DataFrame:
         """Runs with their eleven slots (null where a checkpoint is missing)."""
-        from plumbline.operators.trajectory import slots
-
-        return self.nat.join(slots(self.ck, RUN, "idx", ["ans", "alias", "correct", "conf", "ent", "k_keep"]), RUN)
+        got = self._by_run(trajectory.gathered("idx", ["ans", "alias", "correct", "conf", "ent", "k_keep"]).alias("got"))
+        return got.withColumn("slots", trajectory.placed("got")).drop("got")
 
     @cached_property
     def features(self) -> DataFrame:
         """Runs with the trajectory features: switches, transitions, left, recovered, stabilization and more."""
-        from plumbline.operators.trajectory import features
-
-        return features(self.runs)
+        return trajectory.features(self.runs)
 
     @cached_property
     def long(self) -> DataFrame:
