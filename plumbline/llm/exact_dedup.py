@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import SPACE, fresh, scratch, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+#: State in RocksDB, of which an executor holds only the partitions it works on just now.
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 INBOX = "id BIGINT, digest STRING, place STRING"
 
 
