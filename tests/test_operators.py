@@ -247,3 +247,27 @@ def test_long_answer_texts(spark):
     got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(scalars.terminal_block(scalars.natural_region(F.col("t"))).alias("p")).collect()
     assert got[0]["p"]["answer"] == "C" and got[0]["p"]["confidence"] == 70
     assert got[1]["p"]["answer_status"] == "missing" and got[2]["p"]["answer_status"] == "missing"
+
+
+def test_registered_metrics(spark):
+    from plumbline.operators import metrics
+
+    df = spark.createDataFrame([("a", True, 0.9), ("a", False, 0.2), ("b", True, 0.1), ("b", False, 0.1), ("b", None, 0.3)], "g string, y boolean, x double")
+    if "spread" not in metrics._METRICS:
+        metrics.register_metric("spread", metrics.from_values(lambda y, x: float(np.ptp(x))))
+    got = {name: {r["g"]: r["value"] for r in metrics.evaluate(name, df, ["g"]).collect()} for name in ("auroc", "ece", "mean_difference", "spread")}
+    assert got["auroc"] == {"a": 1.0, "b": 0.5} and math.isclose(got["spread"]["a"], 0.7) and got["spread"]["b"] == 0.0
+    assert math.isclose(got["mean_difference"]["a"], 0.7) and math.isclose(got["ece"]["a"], 0.15)
+    with pytest.raises(ValueError, match="already"):
+        metrics.register_metric("auroc", lambda rows, groups: rows)
+
+
+def test_percentiles(spark):
+    from plumbline.operators.rank import percentiles
+
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice([rng.random(), 0.5])) for _ in range(500)] + [("c", 1.0), (None, 2.0), (None, 4.0)]
+    got = {r["g"]: (r["lo"], r["hi"]) for r in percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", {"lo": 0.1, "hi": 0.75}).collect()}
+    for g in ("a", "b", "c", None):
+        want = np.percentile([x for k, x in rows if k == g], [10, 75])
+        assert np.allclose(got[g], want, rtol=1e-12)
