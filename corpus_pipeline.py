@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import exact_dedup, language_id, mixing, packing, simhash
-from plumbline.llm.common import stage
+from plumbline.llm.common import forget, stage, written
 
 #: The mix of the pipeline: nine tenths of the tokens, no document twice.
 MIX = mixing.Mix(share=0.9, epochs=1)
@@ -44,6 +44,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = written()
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(spark, start, written() - 1)  # what led to this stage's rows: its own tables and the stage before
+        start = written() - 1
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,7 +19,7 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 CHUNK_BYTES = 1 << 20
 
 _run = uuid.uuid4().hex[:12]
-_count = itertools.count()
+_paths: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +53,21 @@ def _sweep(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; the folder goes when the driver ends."""
     top = shared_dir(spark)
-    n = next(_count)
-    if n == 0:
+    if not _paths:
         atexit.register(_sweep, spark, top)
-    return f"{top}/{n:05d}-{name}"
+    _paths.append(f"{top}/{len(_paths):05d}-{name}")
+    return _paths[-1]
+
+
+def written() -> int:
+    """How many paths ``scratch`` has given out."""
+    return len(_paths)
+
+
+def forget(spark: SparkSession, start: int, end: int) -> None:
+    """Removes what lies at the paths given out from ``start`` to before ``end``, once nothing reads it any more."""
+    for path in _paths[start:end]:
+        delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -2,6 +2,8 @@ import random
 
 import corpus_pipeline
 from test_language_id import WORDS
+from test_mixing import brute as brute_mix
+from test_simhash import brute_groups, brute_print
 
 from plumbline.llm import exact_dedup, simhash
 
@@ -9,6 +11,7 @@ from plumbline.llm import exact_dedup, simhash
 def test_stages(spark, docs, tmp_path):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(WORDS[g]) + str(rng.randrange(40)) for _ in range(80)), g, f"src{i % 4}") for i in range(80) for g in [("en", "de", "fr")[i % 3]]]
+    rows += [(210, " ".join(rows[7][1].split()[:-1]), rows[7][2], rows[7][3])]  # perhaps near, by its fingerprint
     rows += [(200, rows[3][1], "en", "src1"), (201, rows[4][1].replace(" ", "  "), "en", "src1"), (202, "12 34", "en", "src0"), (203, None, "en", "src0"), (3, rows[3][1], rows[3][2], rows[3][3])]
     docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
     frame, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
@@ -21,7 +24,13 @@ def test_stages(spark, docs, tmp_path):
     language, exact, near, mix = seen
     assert language == sorted(r[0] for r in rows if r[0] not in (202, 203))
     assert exact == sorted({r[0] for r in rows} - {200, 201, 202, 203})
-    assert set(near) <= set(exact) and set(mix) <= set(near) and len(mix) == len(set(mix))
+    text = {r[0]: r for r in rows}  # of rows that repeat an identifier, the texts are equal
+    prints = {i: brute_print(text[i][1]) for i in exact}
+    root, least = brute_groups(prints.values()), {}
+    for i in exact:
+        least[root[prints[i]]] = min(i, least.get(root[prints[i]], i))
+    assert near == sorted(least.values())
+    assert mix == sorted(r[0] for r in brute_mix([text[i] for i in near], corpus_pipeline.MIX))
     piece = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in piece} == set(mix)
     assert sum(r["length"] for r in piece) == sum({r["doc_id"]: r["doc_tokens"] for r in piece}.values())
