@@ -26,6 +26,8 @@ from plumbline.llm.common import stage
 from plumbline.llm.token_counts import word_count
 
 LEAF = ["domain", "lang", "source"]
+#: Digits of a place that are settled by sums; what shares them is sorted (a leaf's 65,536th part).
+DIGITS = 4
 
 
 @dataclass(frozen=True)
@@ -87,13 +89,20 @@ def plan(rows: DataFrame, mix: Mix) -> DataFrame:
     goals = budgets(counts, mix).withColumn("goal", F.floor(F.col("budget") + 1e-6).cast("bigint"))
     goals = goals.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("goal") / F.greatest("tokens", F.lit(1))).cast("int")).otherwise(F.lit(mix.epochs)))
     goals = stage(goals.select(*LEAF, "whole", F.when(F.col("tokens") > 0, F.col("goal") - F.col("whole") * F.col("tokens")).otherwise(F.lit(0)).cast("bigint").alias("rest")), "mix-goals")
-    placed = rows.join(goals.where("rest > 0"), LEAF).select(*LEAF, "n_tokens", "rest", order(mix, F.col("whole"), F.col("doc_id")).alias("place"))
-    placed = stage(placed.withColumn("bucket", F.substring("place", 1, 3)), "mix-places")
-    up_to = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = placed.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest")).withColumn("upto", F.sum("n").over(up_to))
-    end = buckets.where("upto - n < rest and upto >= rest").select(*LEAF, "bucket", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("need"))
-    inner = Window.partitionBy(*LEAF).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    last = placed.join(end, [*LEAF, "bucket"]).withColumn("sofar", F.sum("n_tokens").over(inner)).where("sofar - n_tokens < need")
+    placed = rows.join(goals.where("rest > 0"), LEAF).select(*LEAF, "n_tokens", order(mix, F.col("whole"), F.col("doc_id")).alias("place"))
+    placed = stage(placed, "mix-places")
+    # The end of each leaf's prefix, two hexadecimal digits of the place at a time: a sum for each
+    # of 256 buckets, a running sum over those, and the bucket in which what is needed is reached.
+    end = goals.where("rest > 0").select(*LEAF, F.lit("").alias("bucket"), F.col("rest").alias("need"))
+    for digits in range(0, DIGITS, 2):
+        inside = placed.withColumn("bucket", F.substring("place", 1, digits)).join(end, [*LEAF, "bucket"])
+        sums = inside.groupBy(*LEAF, F.substring("place", 1, digits + 2).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("need").alias("need"))
+        up_to = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("upto", F.sum("n").over(up_to))
+        end = stage(sums.where("upto - n < need and upto >= need").select(*LEAF, "bucket", (F.col("need") - (F.col("upto") - F.col("n"))).alias("need")), "mix-end")
+    up_to = Window.partitionBy(*LEAF).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.withColumn("bucket", F.substring("place", 1, DIGITS)).join(end, [*LEAF, "bucket"])
+    last = inside.withColumn("sofar", F.sum("n_tokens").over(up_to)).where("sofar - n_tokens < need")
     cuts = last.groupBy(*LEAF).agg(F.max("place").alias("cut"))
     return goals.join(cuts, LEAF, "left").select(*LEAF, "whole", "cut")
 
