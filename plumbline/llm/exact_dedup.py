@@ -105,9 +105,10 @@ class ExactDedup:
         groups = stage(self.groups(), "exact-groups")
         keyed = self.spark.read.schema(INBOX).parquet(f"{self.root}/inbox")
         out = keyed.join(groups.drop("place"), "digest").select("id", "digest", "keep_id", "group_size", F.lit(None).cast("string").alias("bytes"))
-        unlike = stage(self._unlike(content, groups, id_col, text_col), "exact-unlike")
+        # Written before it is made distinct: an aggregate right on the join would keep it from being split.
+        unlike = stage(self._unlike(content, groups, id_col, text_col), "exact-unlike").distinct()
         if not unlike.isEmpty():
-            out = out.join(unlike.select("digest").distinct(), "digest", "left_anti").unionByName(self._by_bytes(content, unlike, id_col, text_col))
+            out = out.join(unlike, "digest", "left_anti").unionByName(self._by_bytes(content, unlike, id_col, text_col))
         kept = F.col("id").eqNullSafe(F.col("keep_id"))
         return out.select("id", "digest", "keep_id", "group_size", kept.alias("kept"), "bytes")
 
@@ -122,7 +123,8 @@ class ExactDedup:
             .groupBy("digest")
             .agg(F.min_by("body", F.struct(F.col("at") != F.col("place"), F.col("body"))).alias("first_body"))
         )
-        return hits.join(first, "digest").where(F.col("body") != F.col("first_body")).select("digest").distinct()
+        first = stage(first, "exact-first")  # a table of its own: only a join of two exchanges can be split at a hot digest
+        return hits.join(first, "digest").where(F.col("body") != F.col("first_body")).select("digest")
 
     def _by_bytes(self, content: DataFrame, unlike: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text = normalised(F.col(f"`{text_col}`"))
@@ -145,7 +147,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of rows that repeat an identifier and its text, one."""
     ident, sha, key, nth = (fresh(docs, c) for c in ("__id", "__sha", "__key", "__nth"))
-    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)).distinct()
+    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha))
+    verdict = stage(verdict, "exact-kept").distinct()
     rows = docs.withColumn(key, sha256(normalised(F.col(f"`{text_col}`"))))
     rows = rows.join(verdict, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(sha)))
     rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(ident, sha).orderBy(sha)))
