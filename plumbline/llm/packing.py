@@ -100,10 +100,10 @@ def _pack(path: str, window: int, end: int, block: int):
 
         for batch, texts in chunks(batches, "text"):
             for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                data = np.array([*tokens.ids(text.decode(), path), end], "<u4")
-                for a in range(0, len(data), window):
-                    part = data[a : a + window]
-                    rows.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(data)))
+                data = tokens.encoded(text.decode(), path) + end.to_bytes(4, "little")
+                for a in range(0, len(data), 4 * window):
+                    part = data[a : a + 4 * window]
+                    rows.append((doc, a // 4, len(part) // 4, zlib.crc32(part), len(data) // 4))
                     if len(rows) >= block:
                         yield flush()
         if rows:

@@ -35,7 +35,7 @@ def word_count(text: Column) -> Column:
 def _count(path: str):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            n = [len(tokens.ids(t.decode(), path)) for t in texts]
+            n = [len(tokens.encoded(t.decode(), path)) // 4 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["source", "lang", "words", "n"])
 
     return count
