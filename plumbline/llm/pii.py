@@ -35,7 +35,7 @@ PROPOSED = {
 }
 KINDS = [*BASE, "iban"]
 #: A text without this has no match of the kind.
-NEEDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}
+NEEDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}
 START = {"card": 0.3, "phone": 0.6, "iban": 0.3}
 CHECKSUM, NEAR, ACCEPT = 0.3, 40, 0.5
 #: Words just before a proposal that speak for it, and those that speak against any.

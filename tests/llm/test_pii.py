@@ -43,6 +43,16 @@ def test_against_plain_python(docs):
         assert set(out) <= set(filter(None, r["spans"].split(",")))
 
 
+def test_cards_spelt_digit_by_digit(docs):
+    texts = [sep.join("4111111111111111") for sep in (" ", "-")] + ["x 4 1-1 1-1 1-1 1-1 1-1 1-1 1-1 1 y", " ".join("4111111111111112"), "1 2"]
+    got = {r["doc_id"]: r for r in pii.spans(pii.find(docs(list(enumerate(texts))))).collect()}
+    for i, t in enumerate(texts):
+        n, out = brute(t)
+        assert n[2] == (i < 3)
+        assert [got[i][f"n_{k}"] for k in PATTERNS] == n
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(out).encode()).hexdigest()
+
+
 def spans(docs, text):
     return pii.spans(pii.find(docs([(1, text), (1, text)]))).collect()
 
