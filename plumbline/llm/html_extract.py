@@ -7,7 +7,8 @@ part further up. The container with most points, discounted by its own link dens
 best; if it lies in the page's article, the article takes its place. Its siblings are kept if
 they score well beside it or are paragraphs of prose. Scripts, forms, menus, headers, footers,
 sidebars, notices, adverts and reader comments are cut out of the tree before, by tag, role,
-and words of class and id.
+and words of class and id. A container cut by class or id alone is taken back if it turns out
+to be the wrapper of the article.
 
 Defined results: a null, empty or textless page gives an empty text; a page without markup is
 one block; broken markup is read as far as it goes; rows that repeat an identifier get a row
@@ -53,6 +54,10 @@ DROP_WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup popup modal overlay widget toolbar login masthead skip".split()
 )
 KEEP_WORDS = frozenset("article content main body post entry story text".split())
+#: Words that wrappers of whole pages bear too ("with-sidebar", "nav-open").
+LAYOUT_WORDS = frozenset("nav navbar navigation menu menus sidebar sidebars aside footer header toolbar banner masthead".split())
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 GOOD_TAG = {"article": 30.0, "main": 20.0, "div": 5.0, "section": 5.0, "blockquote": 1.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
@@ -63,30 +68,36 @@ _BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "links", "name", "parent", "score", "size", "words")
+    __slots__ = ("children", "cut", "links", "name", "parent", "score", "size", "words")
 
     def __init__(self, name: str, parent: Node | None, words: frozenset[str] = frozenset()):
         self.name, self.parent, self.words = name, parent, words
         self.children: list[Node | str] = []
         self.score = 0.0
         self.size = self.links = 0
+        self.cut = ""
 
 
-def _dropped(name: str, attrs: dict[str, str], inside_article: bool) -> tuple[bool, frozenset[str]]:
+def _dropped(name: str, attrs: dict[str, str], inside_article: bool) -> tuple[str, frozenset[str]]:
+    """Whether an element goes ("tag": by tag, role or state; "layout", "kept", "words": by class and id), and its words."""
     words = frozenset(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) if attrs else frozenset()
     if name in DROP or (name == "header" and not inside_article):
-        return True, words
+        return "tag", words
     if name in ("html", "body", "article", "main"):
-        return False, words
+        return "", words
     if attrs and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROP_ROLE or re.search(r"display:\s*none", attrs.get("style", ""))):
-        return True, words
-    if words & DROP_WORDS and not (words & KEEP_WORDS and name in ("div", "section", "body") and not words & {"ad", "ads", "comment", "comments", "sidebar", "nav", "menu", "footer", "related"}):
-        return True, words
-    return name not in INLINE and "header" in words and not inside_article, words
+        return "tag", words
+    cut = words & DROP_WORDS and not (words & KEEP_WORDS and name in ("div", "section", "body") and not words & {"ad", "ads", "comment", "comments", "sidebar", "nav", "menu", "footer", "related"})
+    if not cut and not (name not in INLINE and "header" in words and not inside_article):
+        return "", words
+    names = [set(_WORD.findall(x)) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()]
+    if any(x & KEEP_WORDS and not x & DROP_WORDS for x in names):
+        return "kept", words
+    return ("words" if words & DROP_WORDS - LAYOUT_WORDS else "layout"), words
 
 
 def parse(page: str) -> Node:
-    """The page's tree without what is dropped."""
+    """The page's tree without what is dropped by tag, role or state; what class and id cut is marked."""
     root = Node("html", None)
     stack = [root]
     skip = 0  # open elements from the first dropped one on
@@ -101,7 +112,13 @@ def parse(page: str) -> Node:
         if skip and len(stack) <= skip:
             skip = 0
 
+    def end_head() -> None:
+        while stack[-1].name == "head":
+            pop(len(stack) - 1)
+
     def add(text: str) -> None:
+        if skip and stack[-1].name == "head" and not text.isspace() and text:
+            end_head()
         if text and not skip:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
@@ -123,6 +140,8 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if close:
+            if name in ("body", "html"):
+                end_head()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     pop(k)
@@ -130,7 +149,9 @@ def parse(page: str) -> Node:
                 if name in INLINE and stack[k].name not in INLINE:
                     break
             continue
-        if name in ("html", "body") and not skip:
+        if name not in IN_HEAD:
+            end_head()
+        if name in ("html", "body") and (not skip or stack[-1].name == "head"):
             continue
         if name in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
@@ -159,8 +180,10 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(" ")
             continue
         attrs = {a.lower(): v.strip("\"'") for a, v in _ATTR.findall(inside)} if inside.strip() else {}
-        drop, words = _dropped(name, attrs, articles > 0) if not skip else (False, frozenset())
+        drop, words = _dropped(name, attrs, articles > 0) if not skip else ("", frozenset())
         node = Node(name, stack[-1], words)
+        if drop != "tag":
+            node.cut, drop = drop, ""
         if not skip and not drop:
             stack[-1].children.append(node)
         if inside.endswith("/") and name not in INLINE | PARAGRAPH | {"div", "section", "article"}:
@@ -187,6 +210,60 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _wrappers(order: list[Node]) -> set[Node]:
+    """The cut containers that hold the article: they go back into the tree.
+
+    One is taken back if it has a name of the article too, or an article element while none is left
+    outside, and more text outside links than all that isn't cut; or if only its layout words speak
+    against it and it has most of the page's text and no article element is left outside.
+    """
+    prose = lambda node: node.size - node.links
+    near: dict[Node, Node | None] = {order[0]: None}  # the cut element that a node lies in, itself included
+    own: dict[Node | None, int] = {None: prose(order[0])}  # text of a cut element, or of the page, outside deeper cut ones
+    articles: set[Node | None] = set()
+    for node in order[1:]:
+        above = near[node.parent]
+        near[node] = node if node.cut else above
+        if node.cut:
+            own[above] -= prose(node)
+            own[node] = prose(node)
+        if node.name in ("article", "main") and prose(node) > 0 and not node.words & DROP_WORDS:
+            articles.add(near[node])
+    back: set[Node] = set()
+    left, outside = own[None], None in articles
+    for node in own:
+        if node is None or node.name in INLINE or node.name in PARAGRAPH or not ((above := near[node.parent]) is None or above in back):
+            continue
+        named = node.cut == "kept" or (node in articles and not outside)
+        if named and prose(node) > left or node.cut == "layout" and not outside and 2 * prose(node) > prose(order[0]):
+            back.add(node)
+            left += own[node]
+            outside = outside or node in articles
+    return back
+
+
+def pruned(order: list[Node]) -> list[Node]:
+    """The nodes left once what class and id cut is out of the tree, sizes put right."""
+    if not any(node.cut for node in order):
+        return order
+    back = _wrappers(order)
+    lost: dict[Node, tuple[int, int]] = {}
+    for node in reversed(order):
+        size, links = (node.size, node.links) if node.cut and node not in back else lost.get(node, (0, 0))
+        if size and node.parent is not None:
+            a, b = lost.get(node.parent, (0, 0))
+            lost[node.parent] = a + size, b + (size if node.name == "a" else links)
+    for node, (size, links) in lost.items():
+        node.size -= size
+        node.links -= links
+    left = order[:1]
+    for node in left:
+        if any(isinstance(c, Node) and c.cut and c not in back for c in node.children):
+            node.children = [c for c in node.children if isinstance(c, str) or not c.cut or c in back]
+        left.extend(c for c in node.children if isinstance(c, Node))
+    return left
+
+
 def _own_text(node: Node) -> str:
     """The text of a node and of its inline descendants."""
     parts, todo = [], list(reversed(node.children))
@@ -285,7 +362,7 @@ def extract(page: str | None) -> str:
     """The main text of a page, its blocks joined by one space."""
     if not page or page.isspace():
         return ""
-    order = _measure(root := parse(page))
+    order = pruned(_measure(root := parse(page)))
     score(order)
     top = best(order)
     return " ".join(blocks(kept(top) if top is not None else [root]))

@@ -27,6 +27,38 @@ def test_pages(page, want):
     assert extract(page) == want
 
 
+WHOLE = [
+    ("<html><head><title>t</title><body><article><p>Text.</p></article></body></html>", "Text."),
+    ("<head><meta charset=x><title>t</title><script>a<b</script><p>Text, more.<p>Again.", "Text, more. Again."),
+    ("<head><title>t</title>\nPlain text.", "Plain text."),
+    ("<html><head><title>t</title></head><body><head><link></head><p>One.</p></body></html>", "One."),
+    ("<body><div id='content' class='with-sidebar'><article><p>Text.</p></article></div></body>", "Text."),
+    ("<div id='content' class='with-sidebar'><p>The text, and more.</p><div class='sidebar'><p>Side.</p></div></div>", "The text, and more."),
+    ("<div class='page nav-open'><div class='nav'><a>x</a></div><p>The text, and more.</p></div><footer>© 2020.</footer>", "The text, and more."),
+    ("<div class='single comments-open'><article><p>Short.</p></article><div class='comments'><p>Long, long, long comment.</p></div></div>", "Short."),
+    ("<div class='no-header'><p>The text, and more.</p></div>", "The text, and more."),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WHOLE)
+def test_pages_kept_whole(page, want):
+    assert extract(page) == want
+
+
+STILL_CUT = [
+    ("<div><p>Short, text.</p></div><div class='comments'><article class='comment-body'><p>" + "Long, comment. " * 9 + "</p></article></div>", "comment"),
+    ("<article><p>Short.</p></article><div class='related'><article><p>" + "Other, text. " * 9 + "</p></article></div>", "Other"),
+    ("<article><p>Short.</p></article><div class='sidebar'><p>" + "Other, text. " * 9 + "</p></div>", "Other"),
+    ("<div class='cookie-notice'><p>We use cookies.</p></div>", "cookies"),
+    ("<div class='ad'>Buy now.</div>", "Buy"),
+]
+
+
+@pytest.mark.parametrize(("page", "word"), STILL_CUT)
+def test_boilerplate_stays_cut(page, word):
+    assert word not in extract(page)
+
+
 def test_odd_pages():
     assert extract(None) == ""
     assert extract("<div>" * 20_000 + "deep, text" + "</div>" * 20_000) == "deep, text"
