@@ -248,21 +248,27 @@ def bst05(t):
     return rows.withColumns({"s": subject, "d": draw}).select(F.format_string("bootstrap-r%06d-s%02d-d%06d", "replicate", "s", "d").alias("draw_id"), "replicate", "subject", "qid")
 
 
-def _questions(t) -> dict[str, list]:
-    """Questions by subject; the plan is made on the driver, so their number is checked."""
-    rows = t.ev.select("subject", "qid").distinct().limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("a draw plan holds 200,000 questions at most")
+#: Questions of a plan made on the driver, and rows of a cohort resampled in the tasks; beyond, draws by hash join to rows as weights.
+MOST_QUESTIONS, MOST_FIGURE_ROWS = 200_000, 100_000
+
+
+def _questions(t) -> tuple[dict[str, list] | None, int]:
+    """Questions by subject, none if there are too many for a plan on the driver; and the runs with a verdict."""
+    rows = t.ev.groupBy("subject", "qid").agg(F.count(F.lit(1)).alias("runs")).limit(MOST_QUESTIONS + 1).collect()
+    if len(rows) > MOST_QUESTIONS:
+        return None, 0
     out: dict[str, list] = {}
     for s, q in sorted((x["subject"], x["qid"]) for x in rows):
         out.setdefault(s, []).append(q)
-    return out
+    return out, sum(x["runs"] for x in rows)
 
 
 @query("bst01")
 def bst01(t):
-    """The plan of one generator as rows (replicate, position, drawn question)."""
-    questions = _questions(t)
+    """The plan of one generator as rows (replicate, position, drawn question); of draws by hash if it is too large."""
+    questions, _ = _questions(t)
+    if questions is None:
+        return bootstrap.hashed_plan(t.ev, "subject", "qid", 10).select("replicate", "position", F.col("qid").cast("bigint"))
     plan = bootstrap.draw_plan(questions, 10)
     names = [q for pool in questions.values() for q in pool]
     starts = [a for pool, a in zip(questions.values(), _starts(questions), strict=True) for _ in pool]
@@ -301,65 +307,104 @@ def bst03(t):
 
 @query("bst06_plan")
 def bst06_plan(t):
-    """Intervals of all features from one shared plan: sorted once for each feature, weighed for each replicate."""
-    questions = _questions(t)
+    """Intervals of all features from one shared plan: sorted once for each feature, weighed for each replicate. Too large a plan or cohort takes draws by hash."""
+    questions, runs = _questions(t)
+    if questions is None or runs > bootstrap.MOST_ROWS:
+        rows = t.long.join(bootstrap.hashed_draws(t.ev, "subject", "qid", 1000), ["subject", "qid"])
+        got = rank.auroc(rows, ["fx", "replicate"], "correct", "x", "m").withColumnRenamed("auroc", "estimate")
+        return bootstrap.interval(got, ["fx"], "estimate", 1000)
     m = bootstrap.multiplicities(bootstrap.draw_plan(questions, 1000), [len(p) for p in questions.values()])
     names = [q for pool in questions.values() for q in pool]
     got = bootstrap.bootstrap_auroc(t.spark, t.long, "fx", "correct", "x", "qid", m, names)
     return bootstrap.interval(got, ["fx"], "estimate", 1000)
 
 
+def _figures(t):
+    rows = t.ev.join(t.ck.where("idx in (0, 5, 10)").groupBy("qid", "run_id").pivot("idx", [0, 5, 10]).agg(F.max("conf")), ["qid", "run_id"])
+    return rows.select("qid", "subject", "correct", "0", "5", "10")
+
+
 def _figure_rows(t):
-    import pandas as pd
+    """The cohort on the driver, or nothing if it has too many rows for that."""
+    pdf = _figures(t).limit(MOST_FIGURE_ROWS + 1).orderBy("qid").toPandas()
+    return pdf if len(pdf) <= MOST_FIGURE_ROWS else None
+
 
-    rows = t.ev.join(t.ck.where("idx in (0, 5, 10)").groupBy("qid", "run_id").pivot("idx", [0, 5, 10]).agg(F.max("conf")), ["qid", "run_id"]).limit(100_001)
-    pdf: pd.DataFrame = rows.select("qid", "subject", "correct", "0", "5", "10").orderBy("qid").toPandas()
-    if len(pdf) > 100_000:
-        raise ValueError("the figure bootstrap resamples a cohort of 100,000 rows at most")
-    return pdf
+def _resampled(t, rows, statistic, replicates: int):
+    got = bootstrap.resample(t.spark, rows, statistic, "qid", "subject", replicates)
+    return t.spark.createDataFrame([(i, *(float(x) for x in row)) for i, row in enumerate(got.itertuples(index=False))], "k int, point double, lo double, hi double")
+
+
+def _finite(c: str):
+    return F.when(F.abs(c) < float("inf"), F.col(c))
+
+
+def _by_fraction(rows, value=_finite):
+    """A row for each of the three fractions: k, x."""
+    return rows.select("*", F.posexplode(F.array(*[value(c) for c in ("0", "5", "10")])).alias("k", "x"))
+
+
+def means(v):
+    import numpy as np
+
+    return np.nanmean(v[["0", "5", "10"]].to_numpy(float), axis=0)
 
 
 @query("bst10")
 def bst10(t):
-    """Any vector statistic, here means at three fractions, under physical resampling."""
+    """Any vector statistic, here means at three fractions, under physical resampling; by weights if the cohort is large."""
+    if (rows := _figure_rows(t)) is not None:
+        return _resampled(t, rows, means, 200)
+    rows = _by_fraction(bootstrap.weighted_rows(_figures(t), "subject", "qid", 200), lambda c: F.nanvl(c, F.lit(None).cast("double")))
+    got = rows.groupBy("replicate", "k").agg(F.try_divide(F.sum(F.col("x") * F.col("m")), F.sum(F.when(F.col("x").isNotNull(), F.col("m")))).alias("mean"))
+    return bootstrap.point_interval(got, "mean")
+
+
+def areas(v):
     import numpy as np
 
-    got = bootstrap.resample(t.spark, _figure_rows(t), lambda v: np.nanmean(v[["0", "5", "10"]].to_numpy(float), axis=0), "qid", "subject", 200)
-    return t.spark.createDataFrame([(i, float(p), float(a), float(b)) for i, (p, a, b) in enumerate(got.itertuples(index=False))], "k int, point double, lo double, hi double")
+    out, y = [], v["correct"].to_numpy(bool)
+    for c in ("0", "5", "10"):
+        x = v[c].to_numpy(float)
+        ok = np.isfinite(x)
+        order = np.argsort(x[ok], kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(x[ok][order]) != 0))) if ok.any() else np.zeros(0, int)
+        out.append(bootstrap.weighted_auroc(y[ok], order, starts, np.ones(ok.sum(), np.int64)) if ok.sum() >= 2 else np.nan)
+    return out
 
 
 @query("bst11")
 def bst11(t):
-    """A curve of areas over columns under physical resampling; missing values drop out by column."""
+    """A curve of areas over columns under physical resampling; missing values drop out by column. By weights if the cohort is large."""
+    if (rows := _figure_rows(t)) is not None:
+        return _resampled(t, rows, areas, 200)
+    rows = _by_fraction(bootstrap.weighted_rows(_figures(t), "subject", "qid", 200))
+    got = rank.auroc(rows, ["replicate", "k"], "correct", "x", "m")
+    every = rows.select("replicate", "k").distinct()
+    return bootstrap.point_interval(every.join(got, ["replicate", "k"], "left"), "auroc")
+
+
+def refit(v):
     import numpy as np
 
-    def areas(v):
-        out, y = [], v["correct"].to_numpy(bool)
-        for c in ("0", "5", "10"):
-            x = v[c].to_numpy(float)
-            ok = np.isfinite(x)
-            order = np.argsort(x[ok], kind="stable")
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(x[ok][order]) != 0))) if ok.any() else np.zeros(0, int)
-            out.append(bootstrap.weighted_auroc(y[ok], order, starts, np.ones(ok.sum(), np.int64)) if ok.sum() >= 2 else np.nan)
-        return out
-
-    got = bootstrap.resample(t.spark, _figure_rows(t), areas, "qid", "subject", 200)
-    return t.spark.createDataFrame([(i, *(float(x) for x in row)) for i, row in enumerate(got.itertuples(index=False))], "k int, point double, lo double, hi double")
+    x, z, y = v["10"].to_numpy(float), v["0"].to_numpy(float), v["correct"].to_numpy(bool)
+    ok = np.isfinite(x) & np.isfinite(z)
+    a = np.stack([np.ones(ok.sum()), z[ok]], 1)
+    left = x[ok] - a @ np.linalg.lstsq(a, x[ok], rcond=None)[0]
+    order = np.argsort(left, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(left[order]) != 0)))
+    return [bootstrap.weighted_auroc(y[ok], order, starts, np.ones(ok.sum(), np.int64))]
 
 
 @query("bst12")
 def bst12(t):
-    """The area of a residual that is fitted anew in each replicate."""
-    import numpy as np
-
-    def refit(v):
-        x, z, y = v["10"].to_numpy(float), v["0"].to_numpy(float), v["correct"].to_numpy(bool)
-        ok = np.isfinite(x) & np.isfinite(z)
-        a = np.stack([np.ones(ok.sum()), z[ok]], 1)
-        left = x[ok] - a @ np.linalg.lstsq(a, x[ok], rcond=None)[0]
-        order = np.argsort(left, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(left[order]) != 0)))
-        return [bootstrap.weighted_auroc(y[ok], order, starts, np.ones(ok.sum(), np.int64))]
-
-    got = bootstrap.resample(t.spark, _figure_rows(t), refit, "qid", "subject", 100)
-    return t.spark.createDataFrame([(i, *(float(x) for x in row)) for i, row in enumerate(got.itertuples(index=False))], "k int, point double, lo double, hi double")
+    """The area of a residual that is fitted anew in each replicate; by weights if the cohort is large."""
+    if (rows := _figure_rows(t)) is not None:
+        return _resampled(t, rows, refit, 100)
+    rows = bootstrap.weighted_rows(_figures(t), "subject", "qid", 100).select("replicate", "m", "correct", _finite("10").alias("x"), _finite("0").alias("z")).where("x is not null and z is not null")
+    total = {name: F.sum(F.col("m") * c).alias(name) for name, c in {"n": F.lit(1.0), "sz": F.col("z"), "sx": F.col("x"), "szz": F.col("z") * F.col("z"), "szx": F.col("z") * F.col("x")}.items()}
+    spread = F.col("n") * F.col("szz") - F.col("sz") * F.col("sz")
+    slope = F.when(spread > 1e-12 * F.col("n") * F.col("szz"), (F.col("n") * F.col("szx") - F.col("sz") * F.col("sx")) / spread).otherwise(0.0)
+    fits = rows.groupBy("replicate").agg(*total.values()).select("replicate", slope.alias("slope"))
+    left = rows.join(fits, "replicate").select("replicate", "m", "correct", (F.col("x") - F.col("slope") * F.col("z")).alias("left"))  # the intercept changes no order
+    return bootstrap.point_interval(rank.auroc(left, ["replicate"], "correct", "left", "m").withColumn("k", F.lit(0)), "auroc")
