@@ -84,9 +84,9 @@ class Rollup:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts all documents in words, then revises them to BPE tokens, and takes those without a word out.
+    """Counts all documents in words, then revises them to BPE tokens; takes those without a word out and puts them back.
 
-    The three batches are committed twice over, as a driver that starts again would.
+    The totals cover every row. The four batches are committed twice over, as a driver that starts again would.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rollup = Rollup(spark)
@@ -97,6 +97,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "0-insert": change(rows, 1, "words", F.col("words")),
         "1-revise": change(rows, -1, "words", F.col("words")).unionByName(change(rows, 1, "byte_bpe_50k", F.col("n"))),
         "2-delete": change(rows.where("words = 0"), -1, "byte_bpe_50k", F.col("n")),
+        "3-restore": change(rows.where("words = 0"), 1, "byte_bpe_50k", F.col("n")),
     }
     for _ in range(2):
         for name, changes in batches.items():

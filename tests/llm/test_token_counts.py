@@ -42,3 +42,12 @@ def test_ids_equal_those_of_the_library():
     texts = ["", " ", "a", " a b ", "a  b", "a \n b", "x\ty z", "don't we'll 12 3%", "é ñ ß q", "<|endoftext|> a", "word" * 500, "tab\t end", "\n\nA b", "a  b c", "w " * 999 + "w"]
     for t in texts:
         assert tokens.ids(t, tokens.default_path()) == whole.encode(t, add_special_tokens=False).ids, t[:30]
+
+
+def test_query_covers_every_row(docs, tmp_path):
+    docs([(1, "a b", "en", "s"), (2, " \n", "en", "s"), (3, "", "de", "t"), (4, None, "fr", "u")]).write.parquet(f"{tmp_path}/documents.parquet")
+    df = docs([(1, "x")])
+    n = {t: len(tokens.ids(t, tokens.default_path())) for t in ("a b", " \n")}
+    assert n[" \n"] > 0
+    want = {("s", "en", "byte_bpe_50k"): (2, sum(n.values())), ("t", "de", "byte_bpe_50k"): (1, 0), ("u", "fr", "byte_bpe_50k"): (1, 0)}
+    assert cells(token_counts.query(df.sparkSession, str(tmp_path))) == want
