@@ -4,7 +4,7 @@
 in a folder. A batch of signed changes is summed per cell first, then written as one file set
 under the batch's name; a batch whose marker is there is not taken again, and one that stopped
 halfway is written over, so a commit may be repeated without counting twice. ``compact`` folds
-committed batches into one. Totals are the sum over batches: no document row is read again.
+committed batches into one and may be repeated too; a folded batch counts as committed. Totals are the sum over batches: no document row is read again.
 
 Changes: an insert adds a document's count, a delete takes it away, a revision takes the old
 count away and adds the new one (under its tokenizer version).
@@ -62,10 +62,29 @@ class Rollup:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def committed(self, batch: str) -> bool:
-        fs, where = self._fs(f"{self.root}/batch={batch}/_SUCCESS")
+    def _names(self) -> list[str]:
+        fs, top = self._fs(self.root)
+        return sorted(x.getPath().getName() for x in fs.listStatus(top)) if fs.exists(top) else []
+
+    def _marked(self, path: str) -> bool:
+        fs, where = self._fs(f"{self.root}/{path}/_SUCCESS")
         return fs.exists(where)
 
+    def _fold(self) -> tuple[str | None, set[str]]:
+        """The newest whole fold and the batches in it; the names are written last."""
+        folds = [x for x in self._names() if x.startswith("fold=") and self._marked(f"{x}/batches")]
+        if not folds:
+            return None, set()
+        rows = self.spark.read.schema("batch STRING").parquet(f"{self.root}/{folds[-1]}/batches").collect()
+        return folds[-1], {x["batch"] for x in rows}
+
+    def _open(self, folded: set[str]) -> list[str]:
+        """Committed batches that no fold holds."""
+        return [b for x in self._names() if x.startswith("batch=") and (b := x.removeprefix("batch=")) not in folded and self._marked(x)]
+
+    def committed(self, batch: str) -> bool:
+        return self._marked(f"batch={batch}") or batch in self._fold()[1]
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Takes a batch of signed changes in, once; false if it was in already."""
         if self.committed(batch):
@@ -76,12 +95,29 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) after all committed batches."""
-        fs, top = self._fs(self.root)
-        done = sorted(s.getPath().toString() for s in fs.listStatus(top) if self.committed(s.getPath().getName().removeprefix("batch="))) if fs.exists(top) else []
+        return self._sums(*self._fold())
+
+    def _sums(self, fold: str | None, folded: set[str]) -> DataFrame:
+        done = [f"{self.root}/batch={b}" for b in self._open(folded)] + ([f"{self.root}/{fold}/sums"] if fold else [])
         rows = self.spark.read.schema(SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*CELL).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
+    def compact(self) -> bool:
+        """Folds the committed batches into one; false if there were none. One that stopped halfway may be repeated."""
+        fold, folded = self._fold()
+        fresh = self._open(folded)
+        if fresh:
+            new = f"fold={int(fold.removeprefix('fold=')) + 1 if fold else 0:010d}"
+            self._sums(fold, folded).write.mode("overwrite").parquet(f"{self.root}/{new}/sums")
+            names = self.spark.createDataFrame([(b,) for b in sorted(folded.union(fresh))], "batch STRING")
+            names.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{new}/batches")
+            fold, folded = new, folded.union(fresh)
+        for x in self._names():
+            if x.removeprefix("batch=") in folded if x.startswith("batch=") else x.startswith("fold=") and fold and x < fold:
+                delete(self.spark, f"{self.root}/{x}")
+        return bool(fresh)
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts all documents in words, then revises them to BPE tokens; takes those without a word out and puts them back.

@@ -51,3 +51,40 @@ def test_query_covers_every_row(docs, tmp_path):
     assert n[" \n"] > 0
     want = {("s", "en", "byte_bpe_50k"): (2, sum(n.values())), ("t", "de", "byte_bpe_50k"): (1, 0), ("u", "fr", "byte_bpe_50k"): (1, 0)}
     assert cells(token_counts.query(df.sparkSession, str(tmp_path))) == want
+
+
+def test_compact_folds_batches_once(docs):
+    df = docs([(1, "a b", "en", "s"), (2, "c", "de", "t")])
+    roll, rows = Rollup(df.sparkSession), counted(df)
+    add = change(rows, 1, "words", F.col("words"))
+    assert not roll.compact()
+    roll.commit("1", add)
+    roll.commit("2", change(rows.where("lang = 'de'"), -1, "words", F.col("words")))
+    want = {("s", "en", "words"): (1, 2)}
+    assert roll.compact() and cells(roll.totals()) == want and roll._names() == ["fold=0000000000"]
+    assert not roll.compact() and not roll.commit("1", add) and cells(roll.totals()) == want
+    roll.commit("3", add)
+    want = {("s", "en", "words"): (2, 4), ("t", "de", "words"): (1, 1)}
+    assert cells(roll.totals()) == want
+    assert roll.compact() and cells(Rollup(df.sparkSession, roll.root).totals()) == want
+    assert roll.committed("1") and roll.committed("3") and roll._names() == ["fold=0000000001"]
+
+
+def test_half_a_fold_is_written_over(docs, monkeypatch):
+    df = docs([(1, "a b", "en", "s")])
+    roll = Rollup(df.sparkSession)
+    roll.commit("1", change(counted(df), 1, "words", F.col("words")))
+    want = {("s", "en", "words"): (1, 2)}
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "delete", lambda *_: None)  # as if the driver had died before the batches went
+        assert roll.compact()
+    assert cells(roll.totals()) == want and len(roll._names()) == 2
+    assert not roll.compact() and cells(roll.totals()) == want and roll._names() == ["fold=0000000000"]
+    roll.commit("2", change(counted(df), 1, "words", F.col("words")))
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "delete", lambda *_: None)
+        roll.compact()
+    token_counts.delete(df.sparkSession, f"{roll.root}/fold=0000000001/batches/_SUCCESS")  # died before the names were whole
+    want = {("s", "en", "words"): (2, 4)}
+    assert cells(roll.totals()) == want
+    assert roll.compact() and cells(roll.totals()) == want and roll._names() == ["fold=0000000001"]
