@@ -2,17 +2,20 @@
 
 Base spans are the leftmost matches of four patterns with a test of their digits (Luhn for
 cards). The method proposes more: cards, phone numbers and account numbers (IBAN, mod 97) cut
-out of runs of digits that the base patterns swallow whole. Each proposal starts with its
-kind's score, gains by a checksum and by words of its kind just before it, loses by words of
-other numbers, and is a span from ``ACCEPT`` on. DataFrame functions only: the places of
+out of runs of digits that the base patterns swallow whole, and secrets (keys of known form,
+long hexadecimal strings). Each proposal starts with its kind's score, gains by a checksum or a
+known form and by words of its kind just before it, loses by words of other numbers, and is a
+span from ``ACCEPT`` on. DataFrame functions only: the places of
 matches come from the lengths of the texts between them.
 
 The patterns are those of the kinds' definitions in a form that can't backtrack: quantifiers
 are possessive where what follows can't match inside, and a run is tried from its start only
 (or from where the last match ended), since a run that fails there fails further on.
 
-Defined results: a null or empty text has no spans; rows that repeat an identifier get a row
-each; an empty table gives an empty result.
+Defined results: a null or empty text has no spans; a very long one is searched whole, in time
+that grows with its length; of two proposals that overlap, the leftmost is looked at; rows that
+repeat an identifier get a row each; a null identifier stays null; an empty table gives an
+empty result; columns of any other name are left out of sight.
 """
 
 from __future__ import annotations
@@ -32,14 +35,16 @@ PROPOSED = {
     "card": r"(?<![0-9])(?:[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{13,19})(?![0-9])",
     "phone": r"\+[0-9]{1,3}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|gh[a-z]_[0-9A-Za-z]{36})(?![A-Za-z0-9])",
 }
-KINDS = [*BASE, "iban"]
+KINDS = [*BASE, "iban", "secret"]
 #: A text without this has no match of the kind.
-NEEDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}
-START = {"card": 0.3, "phone": 0.6, "iban": 0.3}
+NEEDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[0-9A-Fa-f]{32}|AKIA[0-9A-Z]|gh[a-z]_"}
+START = {"card": 0.3, "phone": 0.6, "iban": 0.3, "secret": 0.4}
+KNOWN_KEY = "^(?:AKIA|gh[a-z]_)"
 CHECKSUM, NEAR, ACCEPT = 0.3, 40, 0.5
 #: Words just before a proposal that speak for it, and those that speak against any.
-FOR = {"card": "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta", "phone": "phone|tel|call|mobile|fax|telefon|appel|llame", "iban": "iban|account|bank|konto|compte|cuenta"}
+FOR = {"card": "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta", "phone": "phone|tel|call|mobile|fax|telefon|appel|llame", "iban": "iban|account|bank|konto|compte|cuenta", "secret": "token|secret|api|key|password|passwd|bearer|credential"}
 AGAINST = "order|isbn|serial|version|invoice|tracking|sku"
 HELPS, HARMS = 0.2, 0.2
 
@@ -97,6 +102,8 @@ def score(kind: str, item: Column) -> Column:
     before = F.lower(F.substring(F.col("t"), F.greatest(item["s"] - NEAR, F.lit(0)) + 1, F.least(item["s"], F.lit(NEAR))))
     checked = {"card": luhn, "iban": mod97}.get(kind)
     total = F.lit(START[kind]) + F.when(before.rlike(rf"\b(?:{FOR[kind]})"), HELPS).otherwise(0.0) - F.when(before.rlike(rf"\b(?:{AGAINST})\b"), HARMS).otherwise(0.0)
+    if kind == "secret":
+        total = total + F.when(item["m"].rlike(KNOWN_KEY), CHECKSUM).otherwise(0.0)
     if checked is not None:
         total = total + F.when(checked(item["m"]), CHECKSUM).otherwise(-0.3)
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
@@ -137,14 +144,14 @@ def _listed(kind: str, column: Column) -> Column:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_sha256 and all spans as text."""
+    """doc_id, the base counts, base_sha256, all spans as text, and how many they are."""
     plain = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     every = []
     for k in KINDS:
         parts = [plain(c) for c in (k, f"added_{k}") if c in found.columns]
         every.append(_listed(k, F.sort_array(F.concat(*parts)) if len(parts) > 1 else parts[0]))
     base = F.array_join(F.concat(*[_listed(k, F.col(k)) for k in BASE]), ",")
-    return found.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(*every), ",").alias("spans"))
+    return found.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(*every), ",").alias("spans"), F.size(F.concat(*every)).cast("bigint").alias("n_spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,59 @@ def test_added_spans(docs):
     assert spans(docs, "serial 1 4524132264652876")[0]["spans"] == ""  # a word of other numbers speaks against it
     assert spans(docs, "DE89370400440532013001 nothing here 12345")[0]["spans"] == ""
     assert pii.spans(pii.find(docs([]))).count() == 0
+
+
+def test_prefilters_lose_nothing(docs):
+    rng = random.Random(4)
+    good = {"card": "4111111111111111", "long": "6304000000000000", "short": "4222222222222"}
+    texts = []
+    for _ in range(250):
+        digits = rng.choice(list(good.values()))
+        texts.append(rng.choice(["", "x ", "9", "- "]) + "".join(d + rng.choice(["", " ", "-", " "]) for d in digits) + rng.choice(["", "y", " 1", "."]))
+        texts.append("".join(rng.choice("1.2+@a-( )") for _ in range(rng.randrange(40))))
+    texts += ["+1 2 3 4 5 6 7 8 9", "+(1) 2-3-4-5-6-7-8-9", "1.1.1.1", "a@b.c", "a@-.-", "%@1.1"]
+    got = {r["doc_id"]: r for r in pii.spans(pii.find(docs(list(enumerate(texts))))).collect()}
+    for i, t in enumerate(texts):
+        n, out = brute(t)
+        assert [got[i][f"n_{k}"] for k in PATTERNS] == n, t
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(out).encode()).hexdigest()
+
+
+def test_recall_by_kind(docs):
+    """Every planted item of a kind is found, whatever stands around it."""
+    rng = random.Random(7)
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        return "DE" + f"{98 - int(body + '131400') % 97:02d}" + body
+
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    make = {
+        "email": lambda: f"ann.{rng.randrange(99)}@mail{rng.randrange(9)}.example.com",
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "card": card,
+        "phone": lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}",
+        "iban": iban,
+        "secret": lambda: hexes(40),
+    }
+    lead = {"iban": ["bank ", "IBAN: "], "secret": ['token = "', "api_key=", "password: "]}
+    rows, want = [], {}
+    for kind, item in make.items():
+        for _ in range(60):
+            before = "some words, " * rng.randrange(3) + rng.choice(lead.get(kind, ["", "and ", "at ", "é "]))
+            x = item()
+            want[len(rows)] = f"{kind}:{len(before)}:{len(before) + len(x)}"
+            rows.append((len(rows), before + x + rng.choice([" end", ". And", '"', ""] if kind in lead else [" end", "", " é"])))
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.spans(pii.find(docs(rows))).collect()}
+    assert [rows[i][1] for i in want if want[i] not in got[i]] == []
+
+
+def test_secrets_need_a_known_form_or_words(docs):
+    assert spans(docs, "commit " + "0a" * 20)[0]["spans"] == ""
+    assert spans(docs, "x AKIA" + "A1" * 8)[0]["spans"] == "secret:2:22"
+    r = spans(docs, 'token = "' + "0a" * 20 + '"')[0]
+    assert (r["spans"], r["n_spans"]) == ("secret:9:49", 1)
