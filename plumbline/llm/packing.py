@@ -8,8 +8,10 @@ that has one, found in logarithmic time. Nothing is shuffled; a task packs block
 pieces, so its memory is bounded whatever the partition holds, at the cost of a few windows
 left open in each block.
 
-Defined results: a null text counts as empty and gives the end id alone; rows that repeat an
-identifier are packed each; an empty table gives an empty result. Window numbers are unique
+Defined results: a null text counts as empty and gives the end id alone; a very long text is cut
+into full windows like any other; rows that repeat an identifier are packed each; a null
+identifier stays null; an empty table gives an empty result; columns of any other name are left
+out of sight. Pieces of equal length go in the order of their rows. Window numbers are unique
 over all tasks (the task's number above 40 bits), not gapless.
 """
 

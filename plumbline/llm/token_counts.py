@@ -4,13 +4,17 @@
 in a folder. A batch of signed changes is summed per cell first, then written as one file set
 under the batch's name; a batch whose marker is there is not taken again, and one that stopped
 halfway is written over, so a commit may be repeated without counting twice. ``compact`` folds
-committed batches into one and may be repeated too; a folded batch counts as committed. Totals are the sum over batches: no document row is read again.
+committed batches into one and may be repeated too; a folded batch counts as committed. Totals
+are the sum over batches: no document row is read again. One writer at a time commits or folds.
 
 Changes: an insert adds a document's count, a delete takes it away, a revision takes the old
 count away and adds the new one (under its tokenizer version).
 
-Defined results: null sources and languages are cells of their own; a null text has no tokens;
-cells whose documents cancel out are left out; an empty batch commits and changes nothing.
+Defined results: null sources and languages are cells of their own; a null or empty text has no
+tokens and counts as a document; a very long text is encoded whole, alone in its chunk; rows
+that repeat an identifier count each, as identifiers are not read; cells whose documents and
+tokens cancel out are left out; an empty batch commits and changes nothing, and an empty table
+has no totals; columns of any other name are left out of sight.
 """
 
 from __future__ import annotations
@@ -41,9 +45,11 @@ def _count(path: str):
     return count
 
 
-def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
+def counted(docs: DataFrame, path: str | None = None, source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(source, lang, words, n): words and BPE tokens of each document."""
-    rows = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), word_count(F.col("text")).alias("words"), "text")
+    named = [F.col(f"`{c}`").cast("string").alias(name) for c, name in ((source_col, "source"), (lang_col, "lang"))]
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(*named, word_count(text).alias("words"), text.alias("text"))
     return rows.mapInArrow(_count(path or tokens.default_path()), "source STRING, lang STRING, words BIGINT, n BIGINT")
 
 

@@ -1,3 +1,10 @@
+import functools
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from plumbline.llm import token_counts, tokens
 from plumbline.llm.token_counts import Rollup, change, counted
 from pyspark.sql import functions as F
@@ -34,14 +41,40 @@ def test_half_a_batch_is_written_over(docs):
     assert cells(roll.totals()) == {("s", "en", "words"): (1, 2)}
 
 
-def test_ids_equal_those_of_the_library():
+@functools.cache
+def library(name="byte_bpe_50k.json"):
+    """The library's own tokenizer, as it comes."""
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokens.default_path())
-    whole.encode_special_tokens = True
-    texts = ["", " ", "a", " a b ", "a  b", "a \n b", "x\ty z", "don't we'll 12 3%", "é ñ ß q", "<|endoftext|> a", "word" * 500, "tab\t end", "\n\nA b", "a  b c", "w " * 999 + "w"]
-    for t in texts:
-        assert tokens.ids(t, tokens.default_path()) == whole.encode(t, add_special_tokens=False).ids, t[:30]
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    return path, lambda t: whole.encode(t, add_special_tokens=False).ids
+
+
+TEXTS = ["", " ", "a", " a b ", "a  b", "a \n b", "x\ty z", "don't we'll 12 3%", "é ñ ß q", "<|endoftext|> a", "hello <|endoftext|> world", "a <|endoftext|> b", "a<|endoftext|>", "<|endoftext", "word" * 500, "tab\t end", "\n\nA b", "a  b c", "w " * 999 + "w", "½ ² ٣ 中文 字", "\U0001f600 x", "\x85 a\x1c b", "\u2003 a \u3000 b"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_equal_those_of_the_library(name):
+    path, encode = library(name)
+    for t in TEXTS:
+        assert tokens.ids(t, path) == encode(t), t[:30]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([" ", "  ", "\n", "\t ", "the", "The.", "a,b", "'s", "12", "<|endoftext|>", "é", "..", "_", "\xa0"]), st.text(max_size=4)), max_size=12))
+def test_any_text_has_the_ids_of_the_library(parts):
+    path, encode = library()
+    text = "".join(parts)
+    assert tokens.ids(text, path) == encode(text)
+
+
+def test_a_vocabulary_of_another_form_goes_to_the_library():
+    import public_tokenizers
+
+    assert tokens._encoder(public_tokenizers.path("word_bpe_49k.json"))[0] is None
+    assert tokens._encoder(tokens.default_path())[0] is not None
 
 
 def test_query_covers_every_row(docs, tmp_path):
@@ -88,3 +121,24 @@ def test_half_a_fold_is_written_over(docs, monkeypatch):
     want = {("s", "en", "words"): (2, 4)}
     assert cells(roll.totals()) == want
     assert roll.compact() and cells(roll.totals()) == want and roll._names() == ["fold=0000000001"]
+
+
+def test_query_against_the_library(docs, tmp_path):
+    """The registered query over a small table, against plain sums of the library's ids."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(TEXTS) + rng.choice([" and more", "", "\n"]), rng.choice(["en", "de", None]), rng.choice(["s", "t", None])) for i in range(120)]
+    rows += [(3, "long text, with words " * 30_000, "en", "s"), (3, "again", "en", "s"), (3, "again", "en", "s"), (200, None, None, "only")]
+    docs(rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    _, encode = library()
+    want = {}
+    for _, t, lang, source in rows:
+        n, total = want.get((source, lang, "byte_bpe_50k"), (0, 0))
+        want[source, lang, "byte_bpe_50k"] = (n + 1, total + len(encode(t or "")))
+    assert cells(token_counts.query(docs([]).sparkSession, str(tmp_path))) == want
+
+
+def test_empty_table_and_other_names(docs):
+    df = docs([(1, "a b", "en", "s")]).selectExpr("source AS `x.y`", "lang AS l", "text AS words", "1 AS n")
+    assert [tuple(r) for r in counted(df, source_col="x.y", lang_col="l", text_col="words").collect()] == [("s", "en", 2, 2)]
+    roll = Rollup(df.sparkSession)
+    assert roll.commit("0", change(counted(docs([])), 1, "words", F.col("words"))) and roll.totals().count() == 0
