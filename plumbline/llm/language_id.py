@@ -8,9 +8,13 @@ documents, summed in the tasks and then over them. A text's margins, one for eac
 compared with each codeword by a logistic loss, weighted by how sure the bit is; the nearest
 codeword wins, and a text whose second codeword is nearly as near is flagged.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every
-text if no language was learned; labels that are null are not learned from; a single known
-language is always predicted; rows that repeat an identifier keep a row each.
+Defined results: a null or empty text, or one without a letter (Unicode category L), is ``und``
+with score 0, as is every text if no language was learned; labels that are null are not learned
+from; a single known language is always predicted; of languages that decode equally well the
+first by name wins, flagged as ambiguous; a very long text is read whole, alone in its chunk;
+rows that repeat an identifier keep a row each; a null identifier is not held out; an empty
+table gives an empty result; columns of any other name are left out of sight. A column with more
+than ``MOST_LANGS`` distinct labels is refused, as it can't be one of languages.
 """
 
 from __future__ import annotations
@@ -26,17 +30,24 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import chunks
 
-#: Cells of the n-gram table; n-grams of one to four bytes share it.
+#: Cells of the n-gram table; n-grams of two to four bytes share it.
 CELLS = 1 << 14
 ORDERS = (2, 3, 4)
+#: Languages that a model may have; the driver holds CELLS counts for each.
+MOST_LANGS = 255
 UNKNOWN = "und"
 #: A text is ambiguous if its score is less than this.
 AMBIGUOUS = 0.5
 SCHEMA = "doc_id BIGINT, held_out BOOLEAN, lang_pred STRING, score DOUBLE, ambiguous BOOLEAN"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and the few numbers that the class takes for such.
+_LETTERS = re.compile(r"[^\W\d_]+")
 _NOT_LETTERS = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+def has_letter(text: str) -> bool:
+    return any(any(map(str.isalpha, m[0])) for m in _LETTERS.finditer(text))
+
+
 def cells(text: bytes, n_cells: int = CELLS) -> np.ndarray:
     """Table cells of a text's n-grams; what is no letter is one blank."""
     plain = _NOT_LETTERS.sub(b" ", text.decode().lower().encode())
@@ -81,7 +92,7 @@ class Model:
         return self.langs[order[0]], float(1 - np.exp(-4 * (loss[order[1]] - loss[order[0]])))
 
     def predict(self, text: bytes) -> tuple[str, float]:
-        if not self.langs or not _LETTER.search(text.decode()):
+        if not self.langs or not has_letter(text.decode()):
             return UNKNOWN, 0.0
         return self.decode(self.margins(text))
 
@@ -101,8 +112,11 @@ def _totals(n_cells: int):
     return totals
 
 
-def train(labelled: DataFrame, n_cells: int = CELLS) -> Model:
+def train(labelled: DataFrame, n_cells: int = CELLS, most: int = MOST_LANGS) -> Model:
     """A model of all rows of (lang, text). The driver gets one number for each language and cell."""
+    named = labelled.where("lang is not null").select("lang").distinct().limit(most + 1).count()
+    if named > most:
+        raise ValueError(f"over {most} distinct labels: not a column of languages")
     sums = labelled.where("lang is not null").select("lang", "text").mapInArrow(_totals(n_cells), "lang STRING, cell BIGINT, n BIGINT")
     got = sums.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
@@ -149,18 +163,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model), SCHEMA)
 
 
-def _known(model: Model, text_col: str):
-    def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(model: Model, text_col: str, lang_col: str):
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, text_col):
-            yield batch.filter(pa.array([model.predict(t)[0] != UNKNOWN for t in texts]))
+            found = [model.predict(t) for t in texts]
+            at = batch.schema.get_field_index(lang_col)
+            given = batch.column(at).to_pylist()
+            lang = [p if s >= AMBIGUOUS or g is None else g for (p, s), g in zip(found, given, strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(lang, batch.schema.field(at).type)).filter(pa.array([p != UNKNOWN for p, _ in found]))
 
-    return known
+    return named
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose language can be told; those without a letter go. Nothing is shuffled."""
+    """The rows whose language can be told, with the predicted language in ``lang_col``; those without a letter go.
+
+    A row flagged as ambiguous is routed by the label that it came with, if it has one. Nothing is
+    shuffled.
+    """
     rows = docs.select(held_out(F.col(f"`{id_col}`")).alias("held_out"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    return docs.mapInArrow(_known(train(rows.where("not held_out")), text_col), docs.schema)
+    return docs.mapInArrow(_named(train(rows.where("not held_out")), text_col, lang_col), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,16 +34,101 @@ def test_held_out_labels_are_not_learned(docs):
 
 
 def test_odd_rows(docs):
-    rows = [*corpus(), (900, None, "en", "s"), (901, "", "en", "s"), (902, "12 %% 34", "en", "s"), (903, "the and of " * 30_000, None, None), (904, "the", None, "s"), (904, "the", None, "s"), (None, "und die der", "de", "s"), (905, "中文 字", None, "s")]
+    rows = [*corpus(), (900, None, "en", "s"), (901, "", "en", "s"), (902, "12 %% 34", "en", "s"), (903, "the and of " * 30_000, None, None), (904, "the", None, "s"), (904, "the", None, "s"), (None, "und die der", "de", "s"), (905, "中文 字", None, "s"), (906, "½", "en", "s"), (907, "² ٣ Ⅷ ①_", "en", "s"), (908, "½ a", "en", "s")]
     got = [r for r in language_id.identify(docs(rows)).collect()]
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
-    assert all(by[i][0]["lang_pred"] == "und" and by[i][0]["score"] == 0 for i in (900, 901, 902))
+    assert all(by[i][0]["lang_pred"] == "und" and by[i][0]["score"] == 0 for i in (900, 901, 902, 906, 907))
+    assert by[908][0]["lang_pred"] != "und"
     assert by[903][0]["lang_pred"] == "en" and len(by[904]) == 2 and by[905][0]["lang_pred"] in WORDS and not by[None][0]["held_out"]
-    kept = {r["doc_id"] for r in language_id.keep(docs(rows)).collect()}
-    assert kept == {r[0] for r in rows} - {900, 901, 902}
+    kept = language_id.keep(docs(rows)).collect()
+    assert {r["doc_id"] for r in kept} == {r[0] for r in rows} - {900, 901, 902, 906, 907}
+
+
+def test_keep_writes_the_predicted_language(docs):
+    """What the stage decides takes effect: a wrong or missing label is replaced, unless the text is ambiguous."""
+    rows = [*corpus(), (900, "the and of to in that is was " * 9, "de", "s"), (901, "der die und das ist nicht " * 9, None, "s"), (902, "q", "zz", "s")]
+    found = {r["doc_id"]: r for r in language_id.identify(docs(rows)).collect()}
+    df = docs(rows)
+    kept = language_id.keep(df)
+    assert kept.columns == df.columns
+    got = {r["doc_id"]: r["lang"] for r in kept.collect()}
+    assert got[900] == "en" and got[901] == "de"
+    for i, _, given, _ in rows:
+        assert got[i] == (given if found[i]["ambiguous"] and given else found[i]["lang_pred"])
+
+
+def plain_cells(text, n_cells):
+    """n-grams of 2 to 4 bytes of the lower-cased text, anything but letters one blank, by cell."""
+    b = b" " + re.sub(rb"[^A-Za-z\x80-\xff]+", b" ", text.lower().encode()) + b" "
+    out = Counter()
+    for n in (2, 3, 4):
+        for i in range(len(b) - n + 1):
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for x in b[i : i + n]:
+                h = (h ^ x) * 0x01000193 & 0xFFFFFFFF
+            out[(h ^ h >> 15) % n_cells] += 1
+    return out
+
+
+def plain_model(rows, n_cells):
+    """The whole of training and decoding once more, without arrays or Spark."""
+    langs = sorted({g for i, t, g, _ in rows if g is not None and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)})
+    freq = {}
+    for g in langs:
+        n = Counter()
+        for i, t, lang, _ in rows:
+            if lang == g and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2):
+                n += plain_cells(t or "", n_cells)
+        total = sum(n.values()) + 0.5 * n_cells
+        freq[g] = [(n[c] + 0.5) / total for c in range(n_cells)]
+    width = 8
+    while width <= len(langs):
+        width *= 2
+    sign = lambda row, col: 1 if (row & col).bit_count() % 2 == 0 else -1
+    code = {g: [sign(k, c) for c in range(1, width)] for k, g in enumerate(langs, 1)}
+    bits = []
+    for b in range(width - 1):
+        up, down = ([g for g in langs if code[g][b] == s] for s in (1, -1))
+        if up and down:
+            bits.append((b, [math.log((sum(freq[g][c] for g in up) / len(up)) / (sum(freq[g][c] for g in down) / len(down))) for c in range(n_cells)]))
+
+    def predict(text):
+        if not langs or not any(ch.isalpha() for ch in text or ""):
+            return "und", 0.0
+        n = plain_cells(text, n_cells)
+        margins = [sum(k * w[c] for c, k in n.items()) / sum(n.values()) for _, w in bits]
+        sure = [abs(m) + 1e-9 for m in margins]
+        scale = sum(sure) / len(sure)
+        loss = {g: sum(s / sum(sure) * math.log1p(math.exp(-2 * code[g][b] * m / scale)) for s, m, (b, _) in zip(sure, margins, bits)) for g in langs}
+        first, second = sorted(loss, key=lambda g: (loss[g], g))[:2]
+        return first, 1 - math.exp(-4 * (loss[second] - loss[first]))
+
+    return predict
+
+
+def test_against_plain_python(docs, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS[g]) for _ in range(rng.randrange(1, 12))) + rng.choice(["", " ½", "\n7 É!"]), rng.choice([g, g, g, "en", None]), "s") for i in range(90) for g in [("en", "de", "fr")[i % 3]]]
+    rows += [(300, None, "en", "s"), (301, "", "de", "s"), (302, "12", "fr", "s"), (7, "the of", "en", "s"), (None, "und die", "de", "s"), (303, "only held", "xx", "s")]
+    monkeypatch.setattr(language_id.train, "__defaults__", (512, language_id.MOST_LANGS))
+    predict = plain_model(rows, 512)
+    got = sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in language_id.identify(docs(rows)).collect()), key=str)
+    want = []
+    for i, t, _, _ in rows:
+        lang, score = predict(t)
+        want.append((i, lang, round(score, 4)))
+    want.sort(key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert max(abs(a[2] - b[2]) for a, b in zip(got, want, strict=True)) < 2e-3
+
+
+def test_a_column_that_is_not_of_languages_is_refused(docs):
+    df = docs([(i, "some text", f"label {i}", "s") for i in range(40)])
+    with pytest.raises(ValueError, match="distinct labels"):
+        language_id.train(df.select("lang", "text"), most=20)
 
 
 def test_few_labels(docs):
