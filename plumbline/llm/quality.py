@@ -1,14 +1,21 @@
 """Quality rules of documents and of their hosts.
 
-Five rules are measured on each whole text. Their failures are summed by host, each host's rate
-is shrunk towards the corpus by a beta prior fitted to the hosts (method of moments), and a host
-of which some rule's shrunk rate is over ``MAX_RATE`` loses its documents with it. DataFrame
-functions only: repeated three-word windows are found by sorting each document's windows by
-hash and position, and comparing the words of neighbours that agree.
-
-Defined results: a null or empty text has no words and fails; a null host has no verdict, so
-its documents are judged alone; rows that repeat an identifier are judged each; an empty table
-gives an empty result.
+Five rules are measured on each whole text. Their failures are summed by host, and each host's
+rate is shrunk towards the corpus by a beta prior fitted to the hosts. The prior's moments are
+those of the true rates: the spread that chance alone gives hosts of their sizes is taken out,
+so a corpus of small hosts that differ by chance only gets a heavy prior. A host is bad by a
+rule if most of its documents break it (shrunk rate over one half) and the odds that they do are
+over ``LIFT`` times those of the whole corpus; a bad host loses its documents with it.
+
+DataFrame functions only: repeated three-word windows are found by sorting each document's
+windows by hash and position, and comparing the words of neighbours that agree.
+
+Defined results: a null or empty text has no words and fails; a very long text is measured
+whole (its windows' keys give the position as many bits as it needs); a null host has no
+verdict, so its documents are judged alone; one host alone has no spread, so its rate is the
+corpus's and it is never bad; rows that repeat an identifier are judged each; a null identifier
+stays null; an empty table gives an empty result; columns of any other name are left out of
+sight.
 """
 
 from __future__ import annotations
@@ -19,13 +26,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import SPACE, stage
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A host is bad if a rule's shrunk failure rate is over this.
-MAX_RATE = 0.9
-#: Bounds of the prior's weight, in documents.
-PRIOR_WEIGHT = (2.0, 1000.0)
+#: A host is bad by a rule if its odds of failing are over 1 and over this many times the corpus's odds.
+LIFT = 10.0
+#: Bounds of the correlation within a host: chance alone, and hosts that fail wholly or not at all.
+LEAST, MOST = 1e-6, 1 - 1e-6
 SYMBOLS = "#*$%&|<>"
-#: Bits of a window's key that hold its position.
-POSITION = 26
 RULES = {
     "few_words": f"n_words < {MIN_WORDS}",
     "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
@@ -48,11 +53,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         F.filter(F.split("t", "\n"), lambda line: F.length(F.translate(line, " \t\x0b\x0c\r", "")) > 0).alias("lines"),
     )
     rows = rows.withColumn("n", F.size("w"))
-    low = (1 << POSITION) - 1
-    keys = f"transform(sequence(0, n - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {~low}L) | i)"
+    # A key is a window's hash with its position in the low bits, as many as the text's length needs.
+    rows = rows.withColumn("b", F.length(F.bin(F.col("n").cast("bigint"))))
+    keys = "transform(sequence(0, n - 3), i -> shiftleft(shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), b), b) | i)"
     rows = rows.withColumn("s", F.expr(f"CASE WHEN n >= 3 THEN sort_array({keys}) ELSE cast(array() AS array<bigint>) END"))
-    same = f"shiftright(x, {POSITION}) = shiftright(get(s, i {{}} 1), {POSITION})"
-    rows = rows.withColumn("c", F.expr(f"transform(filter(s, (x, i) -> {same.format('-')} OR {same.format('+')}), x -> cast(x & {low}L AS int))"))
+    same = "shiftright(x, b) = shiftright(get(s, i {} 1), b)"
+    rows = rows.withColumn("c", F.expr(f"transform(filter(s, (x, i) -> {same.format('-')} OR {same.format('+')}), x -> cast(x & (shiftleft(1L, b) - 1) AS int))"))
     rows = rows.withColumn("t", F.expr("sort_array(transform(c, p -> struct(concat_ws(' ', w[p], w[p + 1], w[p + 2]) AS t, p AS p)))"))
     rows = rows.withColumn("r", F.expr("sort_array(transform(filter(t, (x, i) -> x.t = get(t, i - 1).t OR x.t = get(t, i + 1).t), x -> x.p))"))
     return rows.select(
@@ -74,19 +80,39 @@ def hosts(rows: DataFrame) -> DataFrame:
         "hosts",
     )
     # The driver gets a row of moments, whatever the number of hosts.
-    got = counts.agg(F.sum("n").alias("n"), *[F.sum(r).alias(f"{r}_f") for r in RULES], *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_q") for r in RULES]).first()
+    n = F.col("n").cast("double")
+    sums = [F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.count(F.lit(1)).alias("k")]
+    got = counts.agg(*sums, *[F.sum(r).alias(f"{r}_f") for r in RULES], *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_q") for r in RULES]).first()
     out, good = counts, F.lit(True)
     for r in RULES:
-        n = got["n"] or 1
-        mean = (got[f"{r}_f"] or 0) / n
-        spread = max((got[f"{r}_q"] or 0) / n - mean * mean, 1e-12)
-        weight = min(max(mean * (1 - mean) / spread - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
+        mean, weight = prior(got["n"] or 0, got["nn"] or 0, got["k"], got[f"{r}_f"] or 0, got[f"{r}_q"] or 0)
         rate = (F.col(r) + mean * weight) / (F.col("n") + weight)
         out = out.withColumn(f"{r}_rate", rate)
-        good = good & (F.col(f"{r}_rate") <= MAX_RATE)
+        good = good & (F.col(f"{r}_rate") <= limit(mean))
     return out.withColumn("good", good)
 
 
+def prior(n: float, nn: float, k: int, failed: float, q: float) -> tuple[float, float]:
+    """Mean and weight (in documents) of the beta prior.
+
+    ``n`` and ``nn`` are the sums of the hosts' sizes and of their squares, ``k`` their number, ``failed``
+    the sum of failures f, ``q`` that of f * f / size. The weighted spread of the hosts' rates is, in
+    expectation, m (1 - m) ((k - 1) + rho (n - nn / n - (k - 1))) for rates that correlate by rho within a
+    host; the prior's weight is 1 / rho - 1.
+    """
+    mean = failed / n if n else 0.0
+    noise, room = mean * (1 - mean) * (k - 1), n - nn / n - (k - 1) if n else 0.0
+    rho = (q - n * mean * mean - noise) / (mean * (1 - mean) * room) if mean * (1 - mean) > 0 and room > 0 else 0.0
+    rho = min(max(rho, LEAST), MOST)
+    return mean, 1 / rho - 1
+
+
+def limit(mean: float) -> float:
+    """The shrunk rate over which a host is bad."""
+    odds = max(1.0, LIFT * mean / (1 - mean)) if mean < 1 else float("inf")
+    return odds / (1 + odds) if odds < float("inf") else 1.0
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The features of each row, base_failed and kept."""
     rows = stage(features(docs, id_col, text_col, host_col), "quality")
@@ -101,13 +127,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule_sql() -> str:
-    n, f = "sum(n)", lambda r: f"sum({r})"
     priors = []
     for r in RULES:
-        mean = f"({f(r)} / {n})"
-        spread = f"greatest(sum({r} * {r} / n) / {n} - {mean} * {mean}, 1e-12)"
-        priors.append(f"{mean} AS {r}_mean, least(greatest({mean} * (1 - {mean}) / {spread} - 1, {PRIOR_WEIGHT[0]}), {PRIOR_WEIGHT[1]}) AS {r}_weight")
-    good = " AND ".join(f"({r} + {r}_mean * {r}_weight) / (n + {r}_weight) <= {MAX_RATE}" for r in RULES)
+        mean, q = f"(sum({r}) / sum(n))", f"sum({r} * {r} / n)"
+        var, room = f"({mean} * (1 - {mean}))", "(sum(n) - sum(n * n) / sum(n) - (count(*) - 1))"
+        rho = f"CASE WHEN {var} > 0 AND {room} > 0 THEN ({q} - sum(n) * {mean} * {mean} - {var} * (count(*) - 1)) / ({var} * {room}) ELSE 0 END"
+        limit = f"CASE WHEN {mean} < 1 THEN greatest(1.0, {LIFT} * {mean} / (1 - {mean})) / (1 + greatest(1.0, {LIFT} * {mean} / (1 - {mean}))) ELSE 1.0 END"
+        priors.append(f"{mean} AS {r}_mean, 1 / least(greatest({rho}, {LEAST}), {MOST}) - 1 AS {r}_weight, {limit} AS {r}_limit")
+    good = " AND ".join(f"({r} + {r}_mean * {r}_weight) / (n + {r}_weight) <= {r}_limit" for r in RULES)
     counts = ", ".join(f"CAST(count(*) FILTER ({rule}) AS DOUBLE) AS {r}" for r, rule in RULES.items())
     return f"h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, {counts} FROM f WHERE host IS NOT NULL GROUP BY host), pr AS (SELECT {', '.join(priors)} FROM h), v AS (SELECT host, {good} AS good FROM h, pr)"
 
