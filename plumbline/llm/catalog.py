@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from plumbline.llm import exact_dedup, html_extract, language_id, mixing, packing, pii, quality, simhash, substring_dedup, token_counts
+from plumbline.llm import exact_dedup, html_extract, language_id, mixing, packing, pii, pipeline, quality, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.query,
         "op9_pack": packing.query,
         "op10_language_id": language_id.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
@@ -31,5 +30,4 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.SQL,
         "op3_host_quality": quality.SQL,
         "op4_substring_dedup": substring_dedup.SQL,
-        "op5_mix_sources": mixing.sql(),
     }

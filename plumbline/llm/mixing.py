@@ -10,19 +10,28 @@ sum over hash buckets and a running sum in the bucket where it ends, so a leaf w
 the corpus is never sorted in one task; what the documents are compared with is one cut-off for
 each leaf.
 
-Defined results: null languages and sources are nodes of their own (named ''); a null text has
-no tokens; rows that repeat an identifier are taken or left each by its place; an empty table
-gives an empty result.
+Tokens are BPE ids, as packing counts them (without its end ids), or words between white space.
+The children of one node are ranked in one task: a row for each domain, each language of a
+domain, and each source of a language, never one for a document.
+
+Defined results: null languages and sources are nodes of their own (named ''); a null or empty
+text has no tokens and goes with its leaf's whole epochs; a very long text is counted whole and
+taken whole if the prefix reaches it; rows that repeat an identifier share a place and are taken
+or left by it; an empty table gives an empty result; columns of any other name are left out of
+sight, and ``take`` hands them on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stage
+from plumbline.llm import tokens
+from plumbline.llm.common import chunks, stage
 from plumbline.llm.token_counts import word_count
 
 LEAF = ["domain", "lang", "source"]
@@ -32,7 +41,10 @@ DIGITS = 4
 
 @dataclass(frozen=True)
 class Mix:
-    """Budget (a share of all tokens), epochs at most, seed, and SQL for each node's name and weight."""
+    """Budget (a share of all tokens), epochs at most, seed, SQL for each node's name and weight, and what a token is.
+
+    ``tokens`` is the path of a vocabulary, "" for the default one, or "words".
+    """
 
     share: float = 0.8
     epochs: int = 2
@@ -41,15 +53,16 @@ class Mix:
     domain_weight: str = "CASE domain WHEN 'group0' THEN 0.4 WHEN 'group1' THEN 0.3 ELSE 0.15 END"
     lang_weight: str = "CASE lang WHEN 'en' THEN 0.5 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 ELSE 0.1 END"
     source_weight: str = "1.0"
+    tokens: str = ""
 
 
 PRODUCTION = Mix()
 
 
-def leaves(docs: DataFrame, mix: Mix, id_col: str, *more: Column) -> DataFrame:
+def leaves(docs: DataFrame, mix: Mix, id_col: str, *more: Column, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, domain, lang, source and more of each row; no other name of the table gets in the way."""
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), named("lang"), named("source"), *more)
+    named = lambda c, name: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name)
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), named(lang_col, "lang"), named(source_col, "source"), *more)
     return rows.withColumn("domain", F.expr(mix.domain))
 
 
@@ -114,21 +127,35 @@ def _taken(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     return joined.where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
 
 
-def counted(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return stage(leaves(docs, mix, id_col, word_count(F.col(f"`{text_col}`")).alias("n_tokens")), "mix-docs")
+def _count(path: str):
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "text"):
+            n = pa.array([len(tokens.encoded(t.decode(), path)) // 4 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *LEAF)], n], names=["doc_id", *LEAF, "n_tokens"])
+
+    return count
+
+
+def counted(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens of each row, written out."""
+    text = F.col(f"`{text_col}`")
+    if mix.tokens == "words":
+        return stage(leaves(docs, mix, id_col, word_count(text).alias("n_tokens"), **names), "mix-docs")
+    rows = leaves(docs, mix, id_col, text.alias("text"), **names)
+    return stage(rows.mapInArrow(_count(mix.tokens or tokens.default_path()), "doc_id BIGINT, domain STRING, lang STRING, source STRING, n_tokens BIGINT"), "mix-docs")
 
 
-def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
+def mixed(docs: DataFrame, mix: Mix = PRODUCTION, **names: str) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epoch: a row for each time that a document is taken."""
-    rows = counted(docs, mix)
+    rows = counted(docs, mix, **names)
     return _taken(rows, plan(rows, mix), mix).select("doc_id", *LEAF, "n_tokens", "epoch")
 
 
-def take(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def take(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it does, with their columns."""
-    goals = stage(plan(counted(docs, mix, id_col, text_col), mix), "mix-plan")
+    goals = stage(plan(counted(docs, mix, id_col, text_col, **names), mix), "mix-plan")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return _taken(leaves(docs, mix, id_col, whole), goals, mix).select("row.*")
+    return _taken(leaves(docs, mix, id_col, whole, **names), goals, mix).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +171,8 @@ def _share_sql(name: str, source: str, parent: str, weight: str, keys: str) -> s
 {name} AS (SELECT * EXCLUDE (given), least(cap, level * w) AS budget FROM {name}_l)"""
 
 
-def sql(mix: Mix = PRODUCTION) -> str:
+def sql(mix: Mix) -> str:
+    """The same mix in SQL, where tokens are words (SQL has no tokenizer)."""
     place = f"md5('{mix.seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) || ':' || lpad(coalesce(CAST(doc_id AS VARCHAR), ''), 20, '0')"
     keys = "domain, lang, source"
     return rf"""

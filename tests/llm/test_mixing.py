@@ -1,6 +1,8 @@
 import hashlib
 
 import pytest
+from oracle import assert_same, connection
+from test_token_counts import library
 
 from plumbline.llm import mixing
 from plumbline.llm.mixing import Mix
@@ -12,7 +14,8 @@ def brute(rows, mix):
     weight = lambda d: {"group0": 0.4, "group1": 0.3}.get(d, 0.15)
     lang_weight = lambda x: {"en": 0.5, "de": 0.2, "fr": 0.2}.get(x, 0.1)
     leaf = lambda r: (f"group{int(''.join(filter(str.isdigit, r[3] or '')) or 0) % 4}", r[2] or "", r[3] or "")
-    count = lambda r: len((r[1] or "").split())
+    encode = library()[1]
+    count = lambda r: len((r[1] or "").split()) if mix.tokens == "words" else len(encode(r[1] or ""))
     tokens = {}
     for r in rows:
         tokens[leaf(r)] = tokens.get(leaf(r), 0) + count(r)
@@ -56,7 +59,7 @@ def brute(rows, mix):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("mix", [Mix(), Mix(share=0.3), Mix(share=1.9, epochs=2), Mix(share=0.9, epochs=1)])
+@pytest.mark.parametrize("mix", [Mix(), Mix(share=0.3), Mix(share=1.9, epochs=2), Mix(share=0.9, epochs=1), Mix(tokens="words"), Mix(share=0.4, tokens="words")])
 def test_against_plain_python(docs, mix):
     got = mixing.mixed(docs(ROWS), mix)
     assert sorted([tuple(r) for r in got.collect()], key=str) == brute(ROWS, mix)
@@ -71,3 +74,24 @@ def test_take_returns_the_same_rows(docs):
 
 def test_empty_table(docs):
     assert mixing.mixed(docs([])).count() == 0 and mixing.take(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("mix", [Mix(tokens="words"), Mix(share=0.5, epochs=1, tokens="words")])
+def test_against_sql(spark, mix):
+    """Whole tables against SQL, in words, which SQL can count."""
+    folder = "/root/testdata/sf0.001"
+    assert_same(mixing.mixed(spark.read.parquet(f"{folder}/documents.parquet"), mix), connection(folder), mixing.sql(mix))
+
+
+def test_names_of_columns(docs):
+    df = docs(ROWS)
+    other = df.selectExpr("doc_id AS i", "text AS body", "lang AS `l.x`", "source AS s", "1 AS lang")
+    got = mixing.take(other, Mix(share=0.5), id_col="i", text_col="body", lang_col="l.x", source_col="s")
+    assert sorted((r["i"] for r in got.collect()), key=str) == sorted((r["doc_id"] for r in mixing.take(df, Mix(share=0.5)).collect()), key=str)
+    assert got.columns == other.columns
+
+
+def test_a_very_long_text_and_a_hot_leaf(docs):
+    rows = [(i, "word " * (3 + i % 5), "en", "src0") for i in range(300)] + [(900, "long text, " * 60_000, "en", "src0"), (901, "b", "de", "src1")]
+    got = mixing.mixed(docs(rows), Mix(share=0.7, epochs=1)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows, Mix(share=0.7, epochs=1))
