@@ -4,15 +4,18 @@ A page becomes a tree with the usual implied end tags. Blocks of text (paragraph
 stands free in a container) get points for their length and commas, discounted by the share of
 their text inside links, and pass them up: all to the parent, half to its parent, a shrinking
 part further up. The container with most points, discounted by its own link density, is the
-best; if it lies in the page's article, the article takes its place. Its siblings are kept if
-they score well beside it or are paragraphs of prose. Scripts, forms, menus, headers, footers,
+best; if it lies in an article element, the page's outermost article elements take its place. Its
+siblings are kept unless most of their text is links. Scripts, forms, menus, headers, footers,
 sidebars, notices, adverts and reader comments are cut out of the tree before, by tag, role,
-and words of class and id. A container cut by class or id alone is taken back if it turns out
-to be the wrapper of the article.
+state, and words of class and id. A container cut by class or id alone is taken back if it turns
+out to be the wrapper of the article, and inline elements go by class or id only where they
+stand alone: a link in a sentence stays.
 
 Defined results: a null, empty or textless page gives an empty text; a page without markup is
-one block; broken markup is read as far as it goes; rows that repeat an identifier get a row
-each; an empty table gives an empty result.
+one block; a very long page is read whole, alone in its chunk; broken markup is read as far as it
+goes; of two containers that score alike the first is the best; rows that repeat an identifier
+get a row each; a null identifier or address stays null; an empty table gives an empty result;
+columns of any other name are left out of sight.
 """
 
 from __future__ import annotations
@@ -56,6 +59,10 @@ DROP_WORDS = frozenset(
 KEEP_WORDS = frozenset("article content main body post entry story text".split())
 #: Words that wrappers of whole pages bear too ("with-sidebar", "nav-open").
 LAYOUT_WORDS = frozenset("nav navbar navigation menu menus sidebar sidebars aside footer header toolbar banner masthead".split())
+#: With one of these, any word but of a name of its own speaks against a container.
+STRICT_WORDS = frozenset("ad ads comment comments sidebar nav menu footer related".split())
+#: A class or id with one of these tells a state ("comments-open", "with-sidebar", "no-ads"), not what an element is.
+STATE_WORDS = frozenset("open closed on off enabled disabled no not has with without".split())
 #: Start tags that leave an open head open.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 GOOD_TAG = {"article": 30.0, "main": 20.0, "div": 5.0, "section": 5.0, "blockquote": 1.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
@@ -63,7 +70,7 @@ GOOD_TAG = {"article": 30.0, "main": 20.0, "div": 5.0, "section": 5.0, "blockquo
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _TAG_END = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 _ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
-_WORD = re.compile(r"[a-z]+|[0-9]+")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _BLANK = re.compile(r"\s+")
 
 
@@ -78,22 +85,38 @@ class Node:
         self.cut = ""
 
 
+def _names(attrs: dict[str, str]) -> list[frozenset[str]]:
+    """The words of each class and of the id, but for names that tell a state."""
+    names = [frozenset(w.lower() for w in _WORD.findall(x)) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    return [x for x in names if not x & STATE_WORDS]
+
+
 def _dropped(name: str, attrs: dict[str, str], inside_article: bool) -> tuple[str, frozenset[str]]:
-    """Whether an element goes ("tag": by tag, role or state; "layout", "kept", "words": by class and id), and its words."""
-    words = frozenset(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) if attrs else frozenset()
+    """Whether an element goes, and its words.
+
+    "tag": by tag, role or state; "inline": by class or id, if it stands alone; "layout", "kept", "words": by
+    class and id (layout words only; beside a name of the article; else).
+    """
+    names = _names(attrs) if attrs else []
+    words = frozenset().union(*names)
     if name in DROP or (name == "header" and not inside_article):
         return "tag", words
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body") or not attrs:
         return "", words
-    if attrs and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROP_ROLE or re.search(r"display:\s*none", attrs.get("style", ""))):
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROP_ROLE or re.search(r"display:\s*none", attrs.get("style", "")):
         return "tag", words
-    cut = words & DROP_WORDS and not (words & KEEP_WORDS and name in ("div", "section", "body") and not words & {"ad", "ads", "comment", "comments", "sidebar", "nav", "menu", "footer", "related"})
-    if not cut and not (name not in INLINE and "header" in words and not inside_article):
+    bad = words & DROP_WORDS
+    header = "header" in words and name not in INLINE and not inside_article
+    own = any(x & KEEP_WORDS and not x & DROP_WORDS for x in names)
+    if own and name in ("div", "section", "article", "main") and not bad & STRICT_WORDS:
+        bad = frozenset()
+    if not bad and not header:
         return "", words
-    names = [set(_WORD.findall(x)) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()]
-    if any(x & KEEP_WORDS and not x & DROP_WORDS for x in names):
+    if name in INLINE:
+        return "inline", words
+    if own:
         return "kept", words
-    return ("words" if words & DROP_WORDS - LAYOUT_WORDS else "layout"), words
+    return ("words" if bad - LAYOUT_WORDS else "layout"), words
 
 
 def parse(page: str) -> Node:
@@ -242,8 +265,22 @@ def _wrappers(order: list[Node]) -> set[Node]:
     return back
 
 
+def _settle_inline(order: list[Node]) -> None:
+    """An inline element marked by class or id is cut only if its block has no text but that of such elements."""
+    alone: dict[Node, bool] = {}
+    for node in order:
+        if node.cut == "inline":
+            block = node.parent
+            while block.parent is not None and block.name in INLINE:
+                block = block.parent
+            if block not in alone:
+                alone[block] = not _own_text(block, but_marked=True)
+            node.cut = "words" if alone[block] else ""
+
+
 def pruned(order: list[Node]) -> list[Node]:
     """The nodes left once what class and id cut is out of the tree, sizes put right."""
+    _settle_inline(order)
     if not any(node.cut for node in order):
         return order
     back = _wrappers(order)
@@ -264,14 +301,14 @@ def pruned(order: list[Node]) -> list[Node]:
     return left
 
 
-def _own_text(node: Node) -> str:
-    """The text of a node and of its inline descendants."""
+def _own_text(node: Node, but_marked: bool = False) -> str:
+    """The text of a node and of its inline descendants (but those marked by class or id)."""
     parts, todo = [], list(reversed(node.children))
     while todo:
         c = todo.pop()
         if isinstance(c, str):
             parts.append(c)
-        elif c.name in INLINE:
+        elif c.name in INLINE and not (but_marked and c.cut):
             todo.extend(reversed(c.children))
     return _BLANK.sub(" ", "".join(parts)).strip()
 
@@ -304,31 +341,38 @@ def best(order: list[Node]) -> Node | None:
             value = (node.score + GOOD_TAG.get(node.name, 0.0) + (10 if node.words & KEEP_WORDS else 0)) * _discount(node)
             if value > most:
                 top, most = node, value
-    up = top
-    while up is not None:
-        if up.name in ("article", "main"):
-            return up
-        up = up.parent
     return top
 
 
-def kept(top: Node) -> list[Node]:
-    """The best container with the siblings that belong to it, in page order."""
-    if top.parent is None or top.name in ("article", "main"):
+def kept(top: Node, order: list[Node]) -> list[Node | str]:
+    """What stays, in page order: the outermost articles, or the best container with its siblings."""
+    up, inside = top, False
+    while up is not None:
+        inside = inside or up.name in ("article", "main")
+        up = up.parent
+    if inside:
+        outer: set[Node] = set()
+        for node in order:  # parents come first
+            if node.parent in outer or node.name in ("article", "main"):
+                outer.add(node)
+        whole = [n for n in order if n in outer and n.parent not in outer and n.size and _discount(n) > 0.5]
+        first = {n: k for k, n in enumerate(_in_page_order(order[0]))}
+        return sorted(whole, key=first.__getitem__)
+    if top.parent is None:
         return [top]
-    least = max(10.0, top.score * 0.2)
-    out = []
-    for c in top.parent.children:
-        if isinstance(c, str):
-            continue
-        text = _own_text(c) if c.name in PARAGRAPH else ""
-        prose = c.name == "p" and (len(text) > 80 and _discount(c) > 0.75 or 0 < len(text) <= 80 and not c.links and text.endswith((".", "!", "?")))
-        if c is top or c.score * _discount(c) >= least or prose or (c.name in ("h1", "h2", "h3") and not c.links):
-            out.append(c)
+    return [c for c in top.parent.children if c is top or isinstance(c, str) or c.name in INLINE or (c.size and _discount(c) > 0.5)]
+
+
+def _in_page_order(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return out
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Texts of the blocks under some nodes, in page order."""
     out: list[str] = []
     run: list[str] = []
@@ -341,7 +385,7 @@ def blocks(nodes: list[Node]) -> list[str]:
 
     todo: list[Node | str | None] = []
     for node in reversed(nodes):
-        todo += [None, node]
+        todo += [node] if isinstance(node, str) or node.name in INLINE else [None, node]
     while todo:
         c = todo.pop()
         if c is None:
@@ -365,7 +409,7 @@ def extract(page: str | None) -> str:
     order = pruned(_measure(root := parse(page)))
     score(order)
     top = best(order)
-    return " ".join(blocks(kept(top) if top is not None else [root]))
+    return " ".join(blocks(kept(top, order) if top is not None else [root]))
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

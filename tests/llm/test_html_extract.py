@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from plumbline.llm import html_extract
@@ -59,6 +61,91 @@ def test_boilerplate_stays_cut(page, word):
     assert word not in extract(page)
 
 
+#: Pages whose main text a rule for boilerplate might take, or whose boilerplate might pass for text.
+CONTRACT = [
+    ("<article><p>Body text, here.</p></article><article class='comment'><p>Nice post.</p></article>", "Body text, here."),
+    ("<article hidden><p>Hidden, hidden, hidden, and long enough to win.</p></article><div><p>Seen, text.</p></div>", "Seen, text."),
+    ("<main aria-hidden='true'><p>Hidden, hidden, hidden.</p></main><article><p>Seen, text.</p></article>", "Seen, text."),
+    ("<article><p>Text, here.</p><div class='cookie-content'><p>We use cookies.</p></div><div class='newsletter-text'>Sign up.</div><div class='social-post'>Follow us.</div></article>", "Text, here."),
+    ("<article><p>A sentence with <a class='social' href='x'>linked words</a> in it.</p></article>", "A sentence with linked words in it."),
+    ("<article><p>Text.</p><a class='share' href='x'>Share this</a><p><span class='ad'>Buy now</span></p></article>", "Text."),
+    ("<article><p>One.</p></article><article><p>Two, which is longer, and scores more.</p></article>", "One. Two, which is longer, and scores more."),
+    ("<div><p>A long paragraph, with commas, and more, so that it scores best.</p></div><div><ul><li>An item.</li></ul></div><div>Tail.</div>", "A long paragraph, with commas, and more, so that it scores best. An item. Tail."),
+    ("<div><p>A long paragraph, with commas, and more, so that it scores best.</p></div>Free text.<div><a href='x'>Home</a> <a href='y'>About</a></div>", "A long paragraph, with commas, and more, so that it scores best. Free text."),
+    ("<article class='post comments-open with-sidebar'><p>Text.</p></article>", "Text."),
+    ("<article id='comment-7'><p>A comment, a long one, with many, many words.</p></article><article><p>Text.</p></article>", "Text."),
+    ("<main class='content sidebar-left'><p>The text, and more.</p></main><div class='sideBar'>x</div>", "The text, and more."),
+    ("<article><p>Text.</p><section class='userComments'><article><p>First, first, first.</p></article></section></article>", "Text."),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), CONTRACT)
+def test_contract(page, want):
+    assert extract(page) == want
+
+
+def generated(rng):
+    """A page made of an article and boilerplate, and the article's text."""
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(99))
+    words = lambda n: " ".join(word() for _ in range(n))
+    want = []
+
+    def block():
+        kind = rng.randrange(7)
+        text = words(rng.randrange(4, 40)) + rng.choice([".", ", and so on.", "!"])
+        if kind == 0:
+            a, b = word(), word()
+            want.append(f"{text} {a} {b} end.")
+            cls = rng.choice(["", " class='social'", " class='ext related'", " rel='x'"])
+            return f"<p>{text} <a href='/x'{cls}>{a}</a>\n\t<b>{b}</b> end." + rng.choice(["</p>", ""])
+        if kind == 1:
+            items = [words(rng.randrange(2, 6)) for _ in range(3)]
+            want.extend(items)
+            return "<ul>" + "".join(f"<li>{x}" + rng.choice(["</li>", ""]) for x in items) + "</ul>"
+        if kind == 2:
+            want.append(text)
+            return f"<h2>{text}</h2>"
+        if kind == 3:
+            want.append(text + " & <x> \u20ac")
+            return f"<blockquote>{text} &amp; &lt;x&gt; &#8364;</blockquote>"
+        if kind == 4:
+            cells = [words(2) for _ in range(4)]
+            want.extend(cells)
+            return f"<table><tr><td>{cells[0]}<td>{cells[1]}</tr><tr><td>{cells[2]}</td><td>{cells[3]}</td></tr></table>"
+        want.append(text)
+        return f"<p>{text}" + rng.choice(["</p>", "", "<!-- <p>not this</p> --></p>"])
+
+    head, body = block(), "".join(block() for _ in range(rng.randrange(2, 9)))
+    junk = [
+        "<nav><ul>" + "".join(f"<li><a href='/{k}'>{word()}</a></li>" for k in range(5)) + "</ul></nav>",
+        f"<div class='ad'>{words(9)}.</div>",
+        f"<aside><p>{words(30)}.</p></aside>",
+        f"<div class='{rng.choice(['sidebar', 'related-posts', 'cookie-notice', 'newsletter', 'social-share'])}'><p>{words(25)}, {words(9)}.</p></div>",
+        f"<script>var x = '<p>{words(3)}</p>';</script>",
+        f"<form><label>{words(3)}</label><input><button>{word()}</button></form>",
+        f"<section id='comments'><p>{words(20)}.</p><article class='comment'><p>{words(20)}, {words(10)}.</p></article></section>",
+        f"<div role='dialog'>{words(12)}</div>",
+        f"<p hidden>{words(8)}</p>",
+        f"<div style='display: none'>{words(8)}</div>",
+    ]
+    rng.shuffle(junk)
+    cut = rng.randrange(len(junk))
+    tag, attrs = rng.choice([("article", ""), ("article", " class='post comments-open'"), ("main", ""), ("div", " class='post-content'"), ("div", " id='content' class='with-sidebar'"), ("div", "")])
+    first = rng.choice(["", "<header><h1>Site</h1></header>", f"<div class='page-header'>{word()}</div>"])
+    inner = head + body + (rng.choice(junk) if tag == "article" else "")
+    wrap = rng.choice(["{}", "<div class='page nav-open'>{}</div>", "<div><div>{}</div></div>"])
+    page = wrap.format(first + "".join(junk[:cut]) + f"<{tag}{attrs}>{inner}</{tag}>" + "".join(junk[cut:]))
+    start = rng.choice(["<!DOCTYPE html><html><head><title>t</title></head><body>", "<html><head><title>t</title><body>", ""])
+    return start + page + f"<footer>{words(6)}.</footer>" + rng.choice(["</body></html>", ""]), " ".join(want)
+
+
+def test_generated_pages():
+    rng = random.Random(12)
+    for k in range(600):
+        page, want = generated(rng)
+        assert extract(page) == want, (k, page)
+
+
 def test_odd_pages():
     assert extract(None) == ""
     assert extract("<div>" * 20_000 + "deep, text" + "</div>" * 20_000) == "deep, text"
