@@ -9,13 +9,16 @@ Only distinct fingerprints enter the tables. In a bucket, a search that takes ea
 fingerprint out of what is left finds its groups and gives one edge for each fingerprint but
 the first: a tree of links within the radius, never all pairs. A bucket with more fingerprints
 than ``SPLIT`` is hashed again with another assignment p, which is again covering for what may
-still differ in it, and once more if need be; after that, few bits are free, which bounds a
-bucket. Trees are joined to components by alternating large-star and small-star rounds, each
+still differ in it, and once more if need be. After three rounds at most 17 of the 64 bits are
+free, so a bucket of the last round has 2^17 (131,072) distinct fingerprints at most: one
+megabyte, searched in one task, each fingerprint against what is left. Trees are joined to components by alternating large-star and small-star rounds, each
 written to the shared folder.
 
-Defined results: a null or empty text has fingerprint zero and is linked like any other; a null
+Defined results: a null or empty text has fingerprint zero and is linked like any other; a very
+long text is read whole, alone in its chunk; a bit set in just half of the shingles is 0; a null
 identifier is larger than any other; rows that repeat an identifier keep a row each; an empty
-table gives an empty result.
+table gives an empty result; columns of any other name are left out of sight, and ``keep`` hands
+them on.
 """
 
 from __future__ import annotations
