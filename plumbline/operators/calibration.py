@@ -52,3 +52,30 @@ def ece(bins_table: DataFrame, groups: list[str]) -> DataFrame:
     """Per group: n and the sum of the bins' contributions; null without rows."""
     n = F.sum("n")
     return bins_table.groupBy(*groups).agg(n.alias("n"), F.when(n > 0, F.sum("contribution")).alias("ece"))
+
+
+def audit(tables: DataFrame, cohort: DataFrame, groups: list[str], target: str, predictor: str, tolerance: float = 1e-9) -> DataFrame:
+    """Defects of reliability tables by ``source``, against the rows that they were made of.
+
+    Groups without all bins, groups whose counts are not the cohort's, accuracies out of bounds, groups
+    whose contributions don't add up to the error (recomputed from the rows), and pooled counts that are
+    not the sum of the subjects'.
+    """
+    used = cohort.where(F.col(target).isNotNull() & F.col(predictor).isNotNull()).select(*groups, F.col(target).cast("int").alias("__y"), F.col(predictor).alias("__c"))
+    total = used.groupBy(*groups).agg(F.count(F.lit(1)).alias("__total"))
+    by_bin = used.groupBy(*groups, fixed_bin(F.col("__c")).alias("__bin")).agg(F.abs(F.sum(F.col("__c")) - F.sum("__y")).alias("__gap"))
+    error = by_bin.groupBy(*groups).agg(F.sum("__gap").alias("__gaps"))
+    same = lambda a, b: [a[g].eqNullSafe(b[g]) for g in groups]
+    truth = total.join(error, same(total, error)).select(*[total[g] for g in groups], "__total", (F.col("__gaps") / F.col("__total")).alias("__ece"))
+    page = tables.groupBy("source", *groups).agg(
+        F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"), F.sum("contribution").alias("total"), F.count_if(~F.col("accuracy").between(0, 1)).alias("bad")
+    )
+    page = page.join(truth, same(page, truth)).select("source", page["grouping"], "bins", "n", "total", "bad", "__total", "__ece")
+    parts = page.where("grouping = 'subject'").groupBy("source").agg(F.sum("n").alias("__parts"))
+    return page.join(parts, "source", "left").groupBy("source").agg(
+        F.count_if(F.col("bins") != BINS).alias("cardinality"),
+        F.count_if(F.col("n") != F.col("__total")).alias("counts"),
+        F.sum("bad").alias("bounds"),
+        F.count_if(F.abs(F.col("total") - F.col("__ece")) > tolerance).alias("sums"),
+        F.count_if((F.col("grouping") == "pooled") & (F.col("n") != F.col("__parts"))).alias("partition"),
+    )

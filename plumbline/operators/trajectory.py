@@ -12,6 +12,39 @@ from pyspark.sql import functions as F
 SLOTS = 11
 
 
+def triad() -> Column:
+    """Whether a checkpoint's answer, confidence and entropy are all there."""
+    return (F.col("answer_status") == "parsed") & (F.col("confidence_status") == "parsed") & (F.col("entropy_status") == "computed")
+
+
+def bundle_error() -> Column:
+    """What is wrong with a checkpoint's statuses taken together; null if nothing is."""
+    outputs = (F.col("output_status") == "valid") | (F.col("answer_status") != "missing") | (F.col("confidence_status") != "missing") | (F.col("entropy_status") != "unavailable")
+    complete, valid = F.col("outcome") == "complete", F.col("output_status") == "valid"
+    return F.when(~complete & outputs, "failure_with_outputs").when(complete & valid & ~triad(), "valid_without_triad").when(complete & ~valid & triad(), "invalid_with_triad")
+
+
+def inheritance(children: DataFrame, parents: DataFrame, key: str, fields: list[str], ident: str) -> DataFrame:
+    """Adds orphan, wrong_fields (inherited fields that differ from the parent's) and duplicate (an identifier met twice)."""
+    side = parents.select(key, *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__here"))
+    twice = children.groupBy(ident).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(ident, F.lit(True).alias("__twice"))
+    got = children.join(side, key, "left").join(twice, ident, "left")
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"__{f}")), f) for f in fields]))
+    out = {"orphan": F.col("__here").isNull(), "wrong_fields": F.when(F.col("__here").isNull(), F.array().cast("array<string>")).otherwise(wrong), "duplicate": F.col("__twice").isNotNull()}
+    return got.withColumns(out).drop(*[f"__{f}" for f in fields], "__here", "__twice")
+
+
+def attached(parents: DataFrame, children: DataFrame, key: str, parent_key: str, index: str, fields: list[str]) -> DataFrame:
+    """Parents with their children as eleven ordered slots (null where one is missing); orphans are an error."""
+    orphans = children.join(parents.select(F.col(key).alias(parent_key)), parent_key, "left_anti")
+    least = orphans.agg(F.min(parent_key).alias("k"), F.count(F.lit(1)).alias("n")).first()
+    if least["n"]:
+        raise ValueError(f"{least['n']} checkpoints have no run, the first of {least['k']}")
+    got = children.groupBy(parent_key).agg(gathered(index, fields).alias("got")).withColumnRenamed(parent_key, key)
+    empty = F.array().cast(got.schema["got"].dataType)
+    return parents.join(got, key, "left").withColumn("got", F.coalesce("got", empty)).withColumn("slots", placed("got")).drop("got")
+
+
 def gathered(index: str, fields: list[str]) -> Column:
     """An aggregate of a run's checkpoints; eleven at most are gathered, so its size is bounded."""
     item = F.struct(F.col(index).alias("i"), F.struct(*fields).alias("v"))

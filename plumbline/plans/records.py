@@ -146,13 +146,6 @@ def src14(t):
 # -- validations --------------------------------------------------------------------------
 
 
-@query("val01", "SELECT event_id, CASE WHEN value IS NULL THEN 'value' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'event_type' END AS first_error FROM events", domain=False)
-def val01(t):
-    """The first rule that a record breaks, in order of path; enumerations are closed."""
-    bad = F.when(F.col("value").isNull(), "value").when(~F.col("event_type").isin("click", "view", "purchase", "signup"), "event_type")
-    return t.read("events", "event_id", "value", "event_type").select("event_id", bad.alias("first_error"))
-
-
 _CONF = "cf AS (SELECT doc_id, CAST(doc_id % 130 AS BIGINT) AS raw, CASE WHEN doc_id % 130 > 100 THEN 'out_of_range' WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'parsed' END AS status, CASE WHEN doc_id % 130 <= 100 AND doc_id % 7 <> 0 THEN (doc_id % 130) / CAST(100 AS DOUBLE) + CASE WHEN doc_id % 11 = 0 THEN 0.001 ELSE 0 END END AS norm FROM documents)"
 
 
@@ -167,13 +160,6 @@ def val02(t):
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("valid"))
 
 
-@query("val03", "SELECT vec_id, len(embedding) = 64 AND list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) IS NOT NULL AS valid FROM embeddings", domain=False)
-def val03(t):
-    """Array lengths agree with their counts, and summaries are there if the arrays are."""
-    size = F.size("embedding")
-    return t.read("embeddings", "vec_id", "embedding").select("vec_id", ((size == 64) & scalars.mean(F.transform("embedding", lambda x: x.cast("double"))).isNotNull()).alias("valid"))
-
-
 _P4 = "a4 AS (SELECT vec_id, [CAST(embedding[i] AS DOUBLE) FOR i IN [2, 3, 5, 8]] AS a FROM embeddings), e4 AS (SELECT vec_id, list_transform(a, lambda x: exp(x - list_max(a))) AS e FROM a4), q4 AS (SELECT vec_id, list_transform(e, lambda y: y / list_sum(e)) AS p FROM e4), b4 AS (SELECT vec_id, p, list_max(p) + CASE WHEN vec_id % 9 = 0 THEN 1e-6 ELSE 0 END AS top FROM q4)"
 
 
@@ -189,100 +175,12 @@ def val04(t):
     return rows.select("vec_id", ((F.abs(scalars.total(F.col("p")) - 1) <= 1e-6) & (F.abs(F.col("top") - F.array_max("p")) <= 1e-12)).alias("valid"))
 
 
-@query("val05", "SELECT event_id, CASE WHEN ans IS NOT NULL AND conf BETWEEN 0 AND 1 AND ent IS NOT NULL THEN 'valid_triad' ELSE 'incomplete' END AS status FROM ck")
-def val05(t):
-    """The status that a checkpoint's parts amount to."""
-    triad = F.col("ans").isNotNull() & F.col("conf").between(0, 1) & F.col("ent").isNotNull()
-    return t.ck.select("event_id", F.when(triad, "valid_triad").otherwise("incomplete").alias("status"))
-
-
-@query("val06", f"{_P4} SELECT vec_id, vec_id % 5 <> 0 AS valid FROM b4")
-def val06(t):
-    """The stored entropy is that of the stored probabilities."""
-    rows = _probabilities(t).withColumn("h", scalars.entropy(F.col("p")))
-    stored = F.col("h") + F.when(F.col("vec_id") % 5 == 0, 1e-3).otherwise(1e-9)
-    return rows.select("vec_id", (F.abs(scalars.entropy(F.col("p")) - stored) <= 1e-6).alias("valid"))
-
-
-@query("val07", "SELECT c.event_id, n.qid IS NULL AS orphan, n.subject IS NOT DISTINCT FROM c.subject AND n.gold IS NOT DISTINCT FROM c.gold AS inherited FROM ck c LEFT JOIN (SELECT * FROM nat WHERE answer IS NOT NULL) n ON n.qid = c.qid AND n.run_id = c.run_id")
-def val07(t):
-    """Foreign keys of checkpoints and what they inherit from their run."""
-    parent = t.nat.where("answer is not null").select(*RUN, F.col("subject").alias("ps"), F.col("gold").alias("pg"), F.lit(True).alias("here"))
-    got = t.ck.join(parent, RUN, "left")
-    return got.select("event_id", F.col("here").isNull().alias("orphan"), (F.col("subject").eqNullSafe(F.col("ps")) & F.col("gold").eqNullSafe(F.col("pg"))).alias("inherited"))
-
-
-@query("val08", "SELECT event_id, k_keep, alias, CASE WHEN n_think > 0 THEN k_keep / CAST(n_think AS DOUBLE) END AS actual_fraction FROM ck")
-def val08(t):
-    """Placement, alias and actual fraction recomputed from the parent's length."""
-    k = scalars.placement(F.col("idx"), F.col("n_think"))
-    return t.ck.select("event_id", k.alias("k_keep"), ((F.col("idx") > 0) & (k == scalars.placement(F.col("idx") - 1, F.col("n_think")))).alias("alias"), F.when(F.col("n_think") > 0, k / F.col("n_think").cast("double")).alias("actual_fraction"))
-
-
 @query("val09", "SELECT qid, run_id, k_keep, count(*) AS members, count(DISTINCT (coalesce(ans, '-'), gold)) = 1 AS consistent FROM ck GROUP BY ALL")
 def val09(t):
     """Members of an alias group share what was measured."""
     return t.ck.groupBy(*RUN, "k_keep").agg(F.count(F.lit(1)).alias("members"), (F.count_distinct(F.struct(F.coalesce("ans", F.lit("-")), "gold")) == 1).alias("consistent"))
 
 
-@query("val10", "SELECT event_id, list_filter([CASE WHEN user_id % 25 = 3 THEN 'seed' END, CASE WHEN value > 450 THEN 'version' END], lambda x: x IS NOT NULL) AS errors FROM (SELECT * FROM events) WHERE user_id % 25 = 3 OR value > 450".replace("list_filter(", "array_to_string(list_filter(").replace("IS NOT NULL) AS errors", "IS NOT NULL), ',') AS errors"), domain=False)
-def val10(t):
-    """All points in which a record differs from its manifest."""
-    errors = F.array_compact(F.array(F.when(F.col("user_id") % 25 == 3, "seed"), F.when(F.col("value") > 450, "version")))
-    return t.read("events", "event_id", "user_id", "value").select("event_id", F.array_join(errors, ",").alias("errors")).where("errors <> ''")
-
-
-@query("val11", "SELECT subject, count(DISTINCT (gold, n_think % 2)) AS provenances, count(DISTINCT (gold, n_think % 2)) = 1 AS single FROM nat GROUP BY subject")
-def val11(t):
-    """Whether all rows of a table come from one source."""
-    k = F.count_distinct(F.struct("gold", F.col("n_think") % 2))
-    return t.nat.groupBy("subject").agg(k.alias("provenances"), (k == 1).alias("single"))
-
-
-@query("val12", "SELECT true AS counts_add_up, true AS bins_sum_to_ece, true AS macro_from_subjects")
-def val12(t):
-    """Arithmetic of the result tables: counts add up, contributions sum to the error."""
-    from plumbline.plans.calibrating import ana02
-    from plumbline.plans.ranking import metric_rows
-
-    m = metric_rows(t.long, ["fx"])
-    adds = m.where(F.col("total") != F.col("target_missing") + F.col("predictor_missing") + F.col("eligible")).isEmpty()
-    sums = m.groupBy("fx").agg(F.sum(F.when(F.col("grouping") == "subject", F.col("eligible"))).alias("a"), F.max(F.when(F.col("grouping") == "macro", F.col("eligible"))).alias("b")).where("a <> b").isEmpty()
-    bins = ana02(t).groupBy("grouping", "grp").agg(F.count(F.lit(1)).alias("bins"), F.min("contribution").alias("least")).where("bins <> 10 or least < 0").isEmpty()
-    return t.spark.range(1).select(F.lit(adds).alias("counts_add_up"), F.lit(bins).alias("bins_sum_to_ece"), F.lit(sums).alias("macro_from_subjects"))
-
-
-@query("val13", "SELECT count(*) AS questions, count(DISTINCT qid) = count(*) AS unique_ids, max(qid) - min(qid) + 1 = count(*) AS contiguous FROM (SELECT DISTINCT qid FROM nat)")
-def val13(t):
-    """Invariants of the list of questions."""
-    q = t.nat.select("qid").distinct()
-    c = F.count(F.lit(1))
-    return q.agg(c.alias("questions"), (F.count_distinct("qid") == c).alias("unique_ids"), (F.max("qid") - F.min("qid") + 1 == c).alias("contiguous"))
-
-
-@query("val14", "SELECT true AS unchanged, 1 AS files", domain=False)
-def val14(t):
-    """Bytes and digests of the files of a source, before and after it is read."""
-    path = records.scratch(t.spark, "snapshot")
-    t.read("nation").coalesce(1).write.parquet(path)
-    before = records.snapshot(t.spark, f"{path}/*.parquet").collect()  # a row for each file
-    t.spark.read.parquet(path).count()
-    same = sorted(map(tuple, before)) == sorted(map(tuple, records.snapshot(t.spark, f"{path}/*.parquet").collect()))
-    return t.spark.range(1).select(F.lit(same).alias("unchanged"), F.lit(len(before)).alias("files"))
-
-
-_PROMPT = "sha256('{\"serialization_version\":\"part1-canonical-json-v1\",\"value\":{\"conv\":' || conv_id || ',\"turn\":' || turn || '}}')"
-
-
-@query("val15", f"SELECT conv_id, turn, turn % 5 <> 0 AS unchanged FROM (SELECT conv_id, turn, {_PROMPT} AS h FROM conversations)", domain=False)
-def val15(t):
-    """A prompt's digest recomputed from the row that it was made of."""
-    own = identity.digest(identity.canonical_json(identity.json_of(conv=F.col("conv_id"), turn=F.col("turn"))))
-    rows = t.read("conversations", "conv_id", "turn").withColumn("h", own)
-    stored = F.when(F.col("turn") % 5 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("h"))
-    return rows.select("conv_id", "turn", (F.col("h") == stored).alias("unchanged"))
-
-
 @query("val16", "m AS (SELECT CASE event_type WHEN 'click' THEN 'prompt hash differs at row ' || event_id WHEN 'view' THEN 'unexpected row ' || event_id ELSE 'record ' || event_id || ' is broken' END AS msg FROM events) SELECT CASE WHEN regexp_matches(msg, '^prompt hash differs at row [0-9]+$') THEN 'prompt_hash' WHEN regexp_matches(msg, '^unexpected row [0-9]+$') THEN 'unexpected' ELSE 'unknown' END AS family, count(*) AS n FROM m GROUP BY family".replace("m AS (", "WITH m AS (", 1), domain=False)
 def val16(t):
     """Errors that a waiver may cover: only known families, counted."""

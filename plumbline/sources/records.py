@@ -165,6 +165,14 @@ def sample_by(df: DataFrame, stratum: str, ident: str, quota: int, seed: int = 4
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files under a path."""
+    """(path, name, bytes, sha256) of the files under a path."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def unchanged(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """The files as they were, and whether each still has its bytes and digest; a file that is gone or new has changed."""
+    now = after.select(F.col(key).alias("__key"), F.col("bytes").alias("__bytes"), F.col("sha256").alias("__sha"))
+    both = before.join(now, F.col(key) == F.col("__key"), "full")
+    same = F.col("bytes").eqNullSafe(F.col("__bytes")) & F.col("sha256").eqNullSafe(F.col("__sha"))
+    return both.select(F.coalesce(key, "__key").alias(key), "bytes", "sha256", same.alias("unchanged"))
