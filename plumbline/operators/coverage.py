@@ -76,3 +76,16 @@ def readiness(natural: DataFrame, checkpoints: DataFrame, unexpected: Column | i
     covered = (F.col("nd") == 0) & (F.col("cd") == 0)
     valid = covered & (F.lit(unexpected) == 0)
     return both.select(covered.alias("coverage_complete"), valid.alias("structurally_valid"), (valid & (F.col("nt") + F.col("ct") == 0)).alias("paper_analysis_ready"))
+
+
+def inventory(lines: DataFrame, files: list[str], line: str) -> DataFrame:
+    """Per file: lines, bytes and a mark that does not depend on the lines' order (the sum of their digests' first 32 bits)."""
+    mark = F.conv(F.substring(F.md5(F.col(line).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return lines.groupBy(*files).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length(line) + 1).cast("bigint").alias("bytes"), F.sum(mark).alias("mark"))
+
+
+def report_identity(files: DataFrame, manifests: list[str]) -> DataFrame:
+    """The digest of a report's inputs: manifests as given, and files (path, bytes, mark) by path. An inventory has a row a file."""
+    item = F.concat_ws(":", "path", F.col("bytes").cast("string"), F.col("mark").cast("string"))
+    got = files.agg(F.array_sort(F.collect_list(item)).alias("every"))
+    return got.select(F.sha2(F.concat_ws("|", *[F.lit(m) for m in manifests], F.array_join("every", ",")).cast("binary"), 256).alias("report_id"))

@@ -100,43 +100,62 @@ def agg11(t):
 
 _EVENTS = {
     "trajectory_count": "count(*)",
-    "switch_sum": "CAST(sum(switches) AS BIGINT)",
-    "switch_available": "count(*) FILTER (transitions > 0)",
-    "appearance_found": "count(*) FILTER (answer IS NOT NULL AND fa IS NOT NULL)",
-    "appearance_not_found": "count(*) FILTER (answer IS NOT NULL AND fa IS NULL)",
-    "appearance_unavailable": "count(*) FILTER (answer IS NULL)",
-    "left_correct": "count(left_at)",
-    "recovered": "count(*) FILTER (rec)",
-    "not_recovered": "count(*) FILTER (left_at IS NOT NULL AND NOT coalesce(rec, false))",
-    "endpoint_agrees": "count(*) FILTER (answer IS NOT NULL)",
+    "switch_count_available": "count(*) FILTER (transitions > 0)",
+    "switch_count_unavailable": "count(*) FILTER (transitions = 0)",
+    "switch_count_sum": "CAST(coalesce(sum(switches) FILTER (transitions > 0), 0) AS BIGINT)",
+    "switch_count_mean": "round(avg(switches) FILTER (transitions > 0), 10)",
+    "first_appearance_found": "count(*) FILTER (answer IS NOT NULL AND fa IS NOT NULL)",
+    "first_appearance_not_found": "count(*) FILTER (answer IS NOT NULL AND fa IS NULL)",
+    "first_appearance_unavailable": "count(*) FILTER (answer IS NULL)",
+    "first_appearance_mean_fraction": "round(avg(fa), 10)",
+    "left_correct_true": "count(left_at)",
+    "left_correct_false": "count(*) FILTER (transitions > 0 AND left_at IS NULL)",
+    "left_correct_unavailable": "count(*) FILTER (transitions = 0)",
+    "later_recovery_true": "count(*) FILTER (rec)",
+    "later_recovery_false": "count(*) FILTER (left_at IS NOT NULL AND NOT coalesce(rec, false))",
+    "later_recovery_not_applicable": "count(*) FILTER (transitions > 0 AND left_at IS NULL)",
+    "later_recovery_unavailable": "count(*) FILTER (transitions = 0)",
+    "endpoint_agreement_true": "count(*) FILTER (agrees)",
+    "endpoint_agreement_false": "count(*) FILTER (NOT agrees)",
+    "endpoint_agreement_unavailable": "count(*) FILTER (agrees IS NULL)",
     "stabilization_computed": "count(stabilization)",
-    "stabilization_mean": "round(avg(stabilization), 10)",
-    "appearance_mean": "round(avg(fa), 10)",
+    "stabilization_unavailable": "count(*) FILTER (stabilization IS NULL)",
+    "stabilization_mean_fraction": "round(avg(stabilization), 10)",
 }
 _FX = f"""ap AS (SELECT f.qid, f.run_id, min(idx) / CAST(10 AS DOUBLE) AS fa FROM f JOIN ck ON f.qid = ck.qid AND f.run_id = ck.run_id WHERE ck.ans = f.answer GROUP BY ALL),
 re AS (SELECT f.qid, f.run_id, true AS rec FROM f JOIN ck ON f.qid = ck.qid AND f.run_id = ck.run_id WHERE NOT ck.alias AND ck.correct AND ck.idx > f.left_at GROUP BY ALL),
-fx AS (SELECT f.*, fa, rec FROM f LEFT JOIN ap USING (qid, run_id) LEFT JOIN re USING (qid, run_id))"""
+fx AS (SELECT f.*, fa, rec, f.answer = ends.ea AS agrees FROM f LEFT JOIN ap USING (qid, run_id) LEFT JOIN re USING (qid, run_id) LEFT JOIN ends USING (qid, run_id))"""
 
 
 @query("agg12", f"{_FX}, g AS ({GROUPED.format('fx')}) SELECT grouping, grp, {', '.join(f'{v} AS {k}' for k, v in _EVENTS.items())} FROM g GROUP BY grouping, grp")
 def agg12(t):
-    """Event counters and means, pooled and by subject."""
-    c = F.count_if
+    """The 22 event counters and means, pooled and by subject."""
+    c, x = F.count_if, F.col
+    told, left = x("transitions") > 0, x("left_at").isNotNull()
     rows = rank.with_groups(t.features)
     return rows.groupBy("grouping", "grp").agg(
         F.count(F.lit(1)).alias("trajectory_count"),
-        n(F.sum("switches"), "switch_sum"),
-        c(F.col("transitions") > 0).alias("switch_available"),
-        c(F.col("appearance_status") == "found").alias("appearance_found"),
-        c(F.col("appearance_status") == "not_found").alias("appearance_not_found"),
-        c(F.col("appearance_status") == "unavailable").alias("appearance_unavailable"),
-        F.count("left_at").alias("left_correct"),
-        c(F.col("recovered")).alias("recovered"),
-        c((F.col("recovery_status") == "evaluated") & ~F.col("recovered")).alias("not_recovered"),
-        c(F.col("endpoint_agrees")).alias("endpoint_agrees"),
+        c(told).alias("switch_count_available"),
+        c(~told).alias("switch_count_unavailable"),
+        n(F.coalesce(F.sum(F.when(told, x("switches"))), F.lit(0)), "switch_count_sum"),
+        r(F.avg(F.when(told, x("switches"))), "switch_count_mean"),
+        c(x("appearance_status") == "found").alias("first_appearance_found"),
+        c(x("appearance_status") == "not_found").alias("first_appearance_not_found"),
+        c(x("appearance_status") == "unavailable").alias("first_appearance_unavailable"),
+        r(F.avg("first_appearance"), "first_appearance_mean_fraction"),
+        c(left).alias("left_correct_true"),
+        c(told & ~left).alias("left_correct_false"),
+        c(~told).alias("left_correct_unavailable"),
+        c(x("recovered")).alias("later_recovery_true"),
+        c((x("recovery_status") == "evaluated") & ~x("recovered")).alias("later_recovery_false"),
+        c(told & (x("recovery_status") == "not_applicable")).alias("later_recovery_not_applicable"),
+        c(~told).alias("later_recovery_unavailable"),
+        c(x("endpoint_agrees")).alias("endpoint_agreement_true"),
+        c(~x("endpoint_agrees")).alias("endpoint_agreement_false"),
+        c(x("endpoint_agrees").isNull()).alias("endpoint_agreement_unavailable"),
         F.count("stabilization").alias("stabilization_computed"),
-        r(F.avg("stabilization"), "stabilization_mean"),
-        r(F.avg("first_appearance"), "appearance_mean"),
+        c(x("stabilization").isNull()).alias("stabilization_unavailable"),
+        r(F.avg("stabilization"), "stabilization_mean_fraction"),
     )
 
 
@@ -201,14 +220,19 @@ def win07(t):
     return rows.select("vec_id", n("i", "i"), r(F.avg(F.col("v").cast("double")).over(w), "smooth"))
 
 
-@query("win08", f"{_TRACE}, m AS (SELECT vec_id, i, count(*) OVER w AS c, avg(v) OVER w AS a FROM tk WINDOW w AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) SELECT vec_id, i, round(a, 10) AS smooth FROM m WHERE c = 16")
+@query(
+    "win08",
+    r"wl AS (SELECT doc_id, i - 1 AS i, len(w[i]) / CAST(20 AS DOUBLE) AS v FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents), unnest(range(1, len(w) + 1)) AS u(i)), m AS (SELECT doc_id, i, count(*) OVER w AS c, avg(v) OVER w AS a FROM wl WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 127 PRECEDING AND CURRENT ROW)) SELECT doc_id, i, round(a, 10) AS smooth FROM m WHERE c = 128",
+)
 def win08(t):
-    """Means of full windows only (16 points here, as the traces have 64)."""
+    """Means of 128 points in a row, full windows only, over traces of thousands of points (word lengths, twentieths)."""
     from pyspark.sql import Window
 
-    rows = t.read("embeddings", "vec_id", "embedding").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    w = Window.partitionBy("vec_id").orderBy("i").rowsBetween(-15, 0)
-    return rows.select("vec_id", n("i", "i"), r(F.avg(F.col("v").cast("double")).over(w), "smooth")).where("i >= 15")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    traces = t.read("documents", "doc_id", "text").select("doc_id", F.transform(words, lambda w: F.length(w) / F.lit(20.0)).alias("a")).where("size(a) >= 128")
+    rows = traces.select("doc_id", F.posexplode("a").alias("i", "v"))
+    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(-127, 0)
+    return rows.select("doc_id", n("i", "i"), r(F.avg("v").over(w), "smooth")).where("i >= 127")
 
 
 @query("fn25", "SELECT r.qid, r.run_id, i AS idx, CASE WHEN c.qid IS NULL THEN 'missing' ELSE 'eligible' END AS eligibility, CASE WHEN c.qid IS NULL THEN 'checkpoint_missing' WHEN c.correct IS NULL THEN 'checkpoint_local_correctness_unavailable' END AS reason, CASE WHEN c.correct IS NOT NULL THEN conf END AS confidence_used FROM nat r CROSS JOIN (SELECT CAST(unnest(range(11)) AS INT) AS i) LEFT JOIN ck c ON c.qid = r.qid AND c.run_id = r.run_id AND c.idx = i")
@@ -224,13 +248,9 @@ def fn26(t):
 
 @query("jn01", "SELECT n.qid, n.run_id, count(c.idx) AS present, 11 - count(c.idx) AS missing, string_agg(coalesce(c.ans, '-'), '' ORDER BY i) AS answers FROM nat n CROSS JOIN (SELECT unnest(range(11)) AS i) LEFT JOIN ck c ON c.qid = n.qid AND c.run_id = n.run_id AND c.idx = i GROUP BY n.qid, n.run_id")
 def jn01(t):
-    """Runs joined to their checkpoints as eleven ordered slots."""
+    """Runs joined to their checkpoints by the parent's identifier, as eleven ordered slots; a checkpoint without a run is an error."""
+    name = F.concat_ws("-", F.lit("run"), F.col("qid").cast("string"), F.col("run_id").cast("string"))
+    checkpoints = t.ck.select(name.alias("parent_id"), "idx", "ans")
+    runs = trajectory.attached(t.nat.withColumn("record_id", name), checkpoints, "record_id", "parent_id", "idx", ["ans"])
     present = F.size(F.filter("slots", lambda s: s.isNotNull()))
-    return t.runs.select("qid", "run_id", n(present, "present"), n(F.lit(11) - present, "missing"), F.array_join(F.transform("slots", lambda s: F.coalesce(s["ans"], F.lit("-"))), "").alias("answers"))
-
-
-@query("ana06", f"{_FX} SELECT count(*) AS trajectories, count(correct) AS evaluable, CAST(sum(switches) AS BIGINT) AS switches, count(stabilization) AS stable, count(fa) AS appeared FROM fx")
-def ana06(t):
-    """One build of the trajectories, kept once and read by all analyses."""
-    f = t.features.select("correct", "switches", "stabilization", "first_appearance")
-    return f.agg(F.count(F.lit(1)).alias("trajectories"), F.count("correct").alias("evaluable"), n(F.sum("switches"), "switches"), F.count("stabilization").alias("stable"), F.count("first_appearance").alias("appeared"))
+    return runs.select("qid", "run_id", n(present, "present"), n(F.lit(11) - present, "missing"), F.array_join(F.transform("slots", lambda s: F.coalesce(s["ans"], F.lit("-"))), "").alias("answers"))

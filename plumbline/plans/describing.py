@@ -141,11 +141,25 @@ def agg29(t):
     return wide.agg(r(F.max("gap"), "gap"), F.max_by("idx", "gap").alias("idx"))
 
 
-@query("agg30", "m AS (SELECT k_keep // 4 AS bin, avg(ck.ent) FILTER (ev.correct) AS a, avg(ck.ent) FILTER (NOT ev.correct) AS b FROM ck JOIN ev USING (qid, run_id) GROUP BY bin) SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both_bins, count(*) FILTER (a < b) AS lower_bins FROM m")
+_POS = "wl AS (SELECT doc_id, l.quality = 1 AS y, i - 1 AS k, len(w[i]) / CAST(20 AS DOUBLE) AS v FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents) JOIN labels l USING (doc_id), unnest(range(1, len(w) + 1)) AS u(i)), pb AS (SELECT width, k // width AS bin, avg(v) FILTER (y) AS a, avg(v) FILTER (NOT y) AS b FROM wl, unnest([400, 100]) AS z(width) GROUP BY ALL)"
+
+
+def _word_traces(t):
+    """Traces of thousands of points: the lengths of a document's words, twentieths."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return t.read("documents", "doc_id", "text").select("doc_id", F.transform(words, lambda w: F.length(w) / F.lit(20.0)).alias("a"))
+
+
+@query("agg30", f"{_POS} SELECT CAST(width AS INT) AS width, count(*) AS bins, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both_bins, count(*) FILTER (a < b) AS lower_bins FROM pb GROUP BY width")
 def agg30(t):
-    """Bins of absolute position in which right runs are the surer ones, of those that have both."""
-    wide = _verdicts(t).groupBy(F.floor(F.col("k_keep") / 4).alias("bin")).pivot("correct", [True, False]).agg(F.avg("ent"))
-    return wide.agg(F.count_if(F.col("true").isNotNull() & F.col("false").isNotNull()).alias("both_bins"), F.count_if(F.col("true") < F.col("false")).alias("lower_bins"))
+    """Bins of 400 and of 100 positions: in how many of those that have both are right traces the lower ones."""
+    rows = _word_traces(t).join(t.read("labels", "doc_id", "quality").withColumn("y", F.col("quality") == 1), "doc_id")
+    # Summed in the row first: a row for each bin of a trace goes on, not one for each of its points.
+    part = lambda width: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size("a") - 1) / width).cast("int"), F.lit(0))), lambda b: F.struct(F.lit(width).alias("width"), b.alias("bin"), scalars.total(F.slice("a", b * width + 1, F.lit(width))).alias("s"), F.least(F.lit(width), F.size("a") - b * width).alias("c")))
+    each = rows.where(F.size("a") > 0).select("y", F.inline(F.concat(part(400), part(100))))
+    mean = lambda y: F.sum(F.when(F.col("y") == y, F.col("s"))) / F.sum(F.when(F.col("y") == y, F.col("c")))
+    got = each.groupBy("width", "bin").agg(F.round(mean(True), 12).alias("a"), F.round(mean(False), 12).alias("b"))
+    return got.groupBy("width").agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both_bins"), F.count_if(F.col("a") < F.col("b")).alias("lower_bins"))
 
 
 @query("agg31", "SELECT idx, count(*) AS n, count(ans) AS parsed, count(*) FILTER (ans IS NULL AND conf < 0.5) AS recovered, count(*) FILTER (ans IS NOT NULL OR conf < 0.5) AS usable, round(100.0::DOUBLE * count(*) FILTER (ans IS NOT NULL OR conf < 0.5) / count(*), 1) AS usable_percent FROM ck GROUP BY idx")
@@ -174,11 +188,13 @@ def _vectors(t):
     return t.read("embeddings", "vec_id", "label", "embedding").select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("a"))
 
 
-@query("agg34", f"{_VEC} SELECT vec_id, round(list_avg(a[1:16]), 10) AS head, round(list_avg(a[49:64]), 10) AS tail, round(len(list_filter(a, lambda x: x < 0.05)) / 64::DOUBLE, 10) AS low_share FROM v")
+@query("agg34", "wd AS (SELECT doc_id, list_transform(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: len(x) / CAST(20 AS DOUBLE)) AS a FROM documents) SELECT doc_id, CAST(len(a) AS INT) AS n, round(list_avg(a[1:1024]), 10) AS head, round(list_avg(a[greatest(len(a) - 1023, 1):]), 10) AS tail, round(len(list_filter(a, lambda x: x < 0.1)) / CAST(len(a) AS DOUBLE), 10) AS low_share FROM wd WHERE len(a) > 0")
 def agg34(t):
-    """Means of a trace's ends and the share of values near zero."""
-    low = F.size(F.filter("a", lambda x: x < 0.05)) / F.size("a")
-    return _vectors(t).select("vec_id", r(scalars.mean(F.slice("a", 1, 16)), "head"), r(scalars.mean(F.slice("a", -16, 16)), "tail"), r(low, "low_share"))
+    """Means of a trace's first and last 1,024 points, and the share of low ones."""
+    low = F.size(F.filter("a", lambda x: x < 0.1)) / F.size("a")
+    last = F.least(F.lit(1024), F.size("a"))
+    rows = _word_traces(t).where(F.size("a") > 0)
+    return rows.select("doc_id", F.size("a").alias("n"), r(scalars.mean(F.slice("a", 1, 1024)), "head"), r(scalars.mean(F.slice("a", -last, last)), "tail"), r(low, "low_share"))
 
 
 @query("agg35", "SELECT count(*) AS records, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(ceil(sum(strlen(props)) * 1.25) AS BIGINT) AS needed, CASE WHEN sum(strlen(props)) * 1.25 <= 100000000 THEN 'sufficient' ELSE 'insufficient' END AS free_space FROM events", domain=False)
@@ -326,13 +342,6 @@ def ana11(t):
     return m.agg(r(F.max("a") - F.min("a"), "right_range"), r(F.max("b") - F.min("b"), "wrong_range"), F.min_by("idx", "a").alias("right_lowest"), F.min_by("idx", "b").alias("wrong_lowest"), r(at(10) - at(0), "right_change", 9))
 
 
-@query("ana12", "SELECT subject, count(*) AS n, round(corr(h_mean, ln(n_think + 1)), 8) AS pearson_log, round(regr_slope(h_mean, n_think), 8) AS slope, round(regr_r2(h_mean, n_think), 8) AS r2 FROM nat GROUP BY subject")
-def ana12(t):
-    """Length and entropy by subject: correlation with log length, slope, share explained."""
-    slope, r2 = F.regr_slope("h_mean", F.col("n_think").cast("double")), F.regr_r2("h_mean", F.col("n_think").cast("double"))
-    return t.nat.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), r(F.corr("h_mean", F.ln(F.col("n_think") + 1)), "pearson_log", 8), r(slope, "slope", 8), r(r2, "r2", 8))
-
-
 @query("ana15", "SELECT n_ck = 11 AS closed, correct, count(*) AS n, round(avg(h_mean), 10) AS mean, round(avg(n_think), 10) AS length FROM (SELECT *, answer = gold AS correct FROM nat) GROUP BY ALL")
 def ana15(t):
     """The pilot's cohort tables: closed and truncated runs by outcome."""

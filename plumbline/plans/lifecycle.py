@@ -222,14 +222,56 @@ def cov03_ready(t):
     return coverage.readiness(a, b)
 
 
+#: The statuses of a run's and of a checkpoint's output, all values of each (fixed values of the data model).
+NATURAL_STATUS = {
+    "stop_reason": ["eos", "max_new_tokens", "stopping_criterion", "error", "other"],
+    "reasoning_status": ["closed", "missing_close", "no_reasoning", "malformed"],
+    "answer_parse_status": ["parsed", "missing", "malformed", "out_of_domain"],
+    "confidence_parse_status": ["parsed", "missing", "malformed", "out_of_range"],
+}
+CHECKPOINT_STATUS = {
+    "checkpoint_model_output_status": ["valid", "invalid"],
+    "answer_parse_status": ["parsed", "missing", "malformed", "out_of_domain"],
+    "confidence_parse_status": ["parsed", "missing", "malformed", "out_of_range"],
+    "answer_token_status": ["located", "missing", "ambiguous", "unsupported"],
+    "entropy_status": ["computed", "unavailable", "invalid"],
+}
 _DIMS = {"answer": ["A", "B", "C", "D"], "verdict": ["right", "wrong"], "closed": ["yes", "no"]}
-_CELLS = ", ".join(f"(SELECT unnest([{', '.join(repr(v) for v in vs)}]) AS {k})" for k, vs in _DIMS.items())
 _MODEL = "mo AS (SELECT answer, CASE WHEN answer = gold THEN 'right' ELSE 'wrong' END AS verdict, CASE WHEN n_ck = 11 THEN 'yes' ELSE 'no' END AS closed FROM nat WHERE answer IS NOT NULL)"
+_NATURAL_SQL = {
+    "stop_reason": "CASE WHEN n_ck = 11 THEN 'eos' WHEN n_ck > 5 THEN 'max_new_tokens' WHEN qid % 7 = 0 THEN 'error' ELSE 'stopping_criterion' END",
+    "reasoning_status": "CASE WHEN n_think = 0 THEN 'no_reasoning' WHEN n_ck = 11 THEN 'closed' WHEN qid % 5 = 0 THEN 'malformed' ELSE 'missing_close' END",
+    "answer_parse_status": "CASE WHEN answer IS NOT NULL THEN 'parsed' WHEN qid % 3 = 0 THEN 'out_of_domain' ELSE 'missing' END",
+    "confidence_parse_status": "CASE WHEN confidence IS NULL THEN 'missing' WHEN confidence > 0.9 THEN 'out_of_range' ELSE 'parsed' END",
+}
+_CHECKPOINT_SQL = {
+    "checkpoint_model_output_status": "CASE WHEN ans IS NOT NULL AND conf <= 0.9 THEN 'valid' ELSE 'invalid' END",
+    "answer_parse_status": "CASE WHEN ans IS NOT NULL THEN 'parsed' WHEN idx % 3 = 0 THEN 'malformed' ELSE 'missing' END",
+    "confidence_parse_status": "CASE WHEN conf IS NULL THEN 'missing' WHEN conf > 0.9 THEN 'out_of_range' ELSE 'parsed' END",
+    "answer_token_status": "CASE WHEN ans IS NULL THEN 'unsupported' WHEN idx = 4 THEN 'ambiguous' ELSE 'located' END",
+    "entropy_status": "CASE WHEN ent IS NULL THEN 'unavailable' WHEN ent > 4.9 THEN 'invalid' ELSE 'computed' END",
+}
+
+
+def _status_sql(source: str, exprs: dict, domains: dict) -> str:
+    names = list(domains)
+    cells = ", ".join(f"(SELECT unnest([{', '.join(repr(v) for v in vs)}]) AS {k})" for k, vs in domains.items())
+    on = " AND ".join(f"m.{k} = c.{k}" for k in names)
+    return f"ms AS (SELECT {', '.join(f'{e} AS {k}' for k, e in exprs.items())} FROM {source}), cells AS (SELECT * FROM {cells}) SELECT {', '.join(f'c.{k}' for k in names)}, count(m.{names[0]}) AS n FROM cells c LEFT JOIN ms m ON {on} GROUP BY ALL"
+
+
+@query("cov04", _status_sql("ck", _CHECKPOINT_SQL, CHECKPOINT_STATUS))
+def cov04(t):
+    """Checkpoints' outputs: counts over the whole product of five statuses."""
+    rows = t.ck.select(*[F.expr(e).alias(k) for k, e in _CHECKPOINT_SQL.items()])
+    return coverage.matrix(rows, CHECKPOINT_STATUS)
 
 
-@query("cov04", f"{_MODEL}, cells AS (SELECT * FROM {_CELLS}) SELECT c.answer, c.verdict, c.closed, count(m.answer) AS n FROM cells c LEFT JOIN mo m ON m.answer = c.answer AND m.verdict = c.verdict AND m.closed = c.closed GROUP BY ALL")
-def cov04(t):
-    return coverage.matrix(_model_rows(t), _DIMS)
+@query("cov04_natural", _status_sql("nat", _NATURAL_SQL, NATURAL_STATUS))
+def cov04_natural(t):
+    """Runs' outputs: counts over the whole product of four statuses."""
+    rows = t.nat.select(*[F.expr(e).alias(k) for k, e in _NATURAL_SQL.items()])
+    return coverage.matrix(rows, NATURAL_STATUS)
 
 
 def _model_rows(t):
@@ -258,20 +300,36 @@ def jn06(t):
     return a.unionByName(have.join(expected(t), RUN, "left_anti").withColumn("side", F.lit("unexpected"))).select("side", *RUN)
 
 
-@query("cov05", f"{COVER} SELECT qid % 16 AS shard, count(*) AS observed, count(DISTINCT qid * 1000 + run_id) AS keys, count(*) FILTER (defect IS NOT NULL) AS defects FROM ob GROUP BY shard")
+_SHARDS = f"""{COVER}, fl AS (SELECT qid % 16 AS shard, 'natural' AS kind, CAST(qid AS VARCHAR) || ':' || run_id AS line FROM ob UNION ALL SELECT qid % 16, 'checkpoint', CAST(qid AS VARCHAR) || ':' || run_id || ':' || idx FROM ck WHERE ans IS NOT NULL UNION ALL SELECT qid % 16, 'audit', CAST(qid AS VARCHAR) || ':' || run_id FROM tried),
+inv AS (SELECT shard, kind, count(*) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, CAST(sum(('0x' || substr(md5(line), 1, 8))::BIGINT) AS BIGINT) AS mark FROM fl GROUP BY ALL),
+sh AS (SELECT qid % 16 AS shard, count(*) AS observed, count(DISTINCT qid * 1000 + run_id) AS keys, count(*) FILTER (defect IS NOT NULL) AS defects FROM ob GROUP BY ALL),
+at2 AS (SELECT qid % 16 AS shard, count(*) AS attempted FROM tried GROUP BY ALL)"""
+
+
+def _files(t):
+    """The lines of each shard's three files: observed runs, usable checkpoints, attempted runs."""
+    shard = F.pmod("qid", F.lit(16)).alias("shard")
+    line = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c]).alias("line")
+    a = observations(t).select(shard, F.lit("natural").alias("kind"), line(*RUN))
+    b = t.ck.where("ans is not null").select(shard, F.lit("checkpoint").alias("kind"), line(*RUN, "idx"))
+    return a.unionByName(b).unionByName(t.nat.select(shard, F.lit("audit").alias("kind"), line(*RUN)))
+
+
+@query("cov05", f"{_SHARDS} SELECT inv.shard, kind, lines, bytes, mark, attempted, observed, keys, defects FROM inv JOIN at2 USING (shard) JOIN sh USING (shard)")
 def cov05(t):
-    """What a scan of each shard finds."""
-    rows = observations(t).withColumn("shard", F.pmod("qid", F.lit(16)))
-    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("observed"), F.countDistinct(*RUN).alias("keys"), F.count("defect").alias("defects"))
+    """What a scan of each shard finds: its files, the keys attempted there, what was observed, and defects."""
+    found = observations(t).withColumn("shard", F.pmod("qid", F.lit(16)))
+    found = found.groupBy("shard").agg(F.count(F.lit(1)).alias("observed"), F.countDistinct(*RUN).alias("keys"), F.count("defect").alias("defects"))
+    tried = t.nat.groupBy(F.pmod("qid", F.lit(16)).alias("shard")).agg(F.countDistinct(*RUN).alias("attempted"))
+    return coverage.inventory(_files(t), ["shard", "kind"], "line").join(tried, "shard").join(found, "shard").select("shard", "kind", "lines", "bytes", "mark", "attempted", "observed", "keys", "defects")
 
 
-@query("cov06", f"{COVER}, pt AS ({_BOTH}) SELECT sha256(string_agg(kind || ':' || disposition || '=' || n, ',' ORDER BY kind, disposition)) AS report_id FROM pt")
+@query("cov06", f"{_SHARDS}, it AS (SELECT string_agg('shard-' || lpad(CAST(shard AS VARCHAR), 3, '0') || '/' || kind || ':' || bytes || ':' || mark, ',' ORDER BY shard, kind) AS files FROM inv) SELECT sha256('study-1|questions-1|model-0|' || files) AS report_id FROM it")
 def cov06(t):
-    """An identity of the report that doesn't depend on the order of its inputs."""
-    a, b = _partitions(t)
-    item = F.concat(F.col("kind"), F.lit(":"), F.col("disposition"), F.lit("="), F.col("n").cast("string"))
-    got = a.unionByName(b).agg(F.array_sort(F.collect_list(F.struct("kind", "disposition", item.alias("s")))).alias("all"))
-    return got.select(F.sha2(F.array_join(F.transform("all", lambda x: x["s"]), ",").cast("binary"), 256).alias("report_id"))
+    """An identity of the report over its inputs: the manifests' and every file's path, size and mark, in whatever order they come."""
+    files = coverage.inventory(_files(t), ["shard", "kind"], "line")
+    path = F.concat(F.lit("shard-"), F.lpad(F.col("shard").cast("string"), 3, "0"), F.lit("/"), F.col("kind"))
+    return coverage.report_identity(files.select(path.alias("path"), "bytes", "mark"), ["study-1", "questions-1", "model-0"])
 
 
 @query("cov07", "sm AS (SELECT qid, run_id, answer, n_ck FROM nat WHERE qid % 50 < 2 AND run_id < 2) SELECT CASE WHEN answer IS NOT NULL THEN 'complete' WHEN n_ck = 11 THEN 'retryable_incomplete' ELSE 'missing' END AS disposition, count(*) AS n FROM sm GROUP BY ALL")

@@ -113,21 +113,39 @@ def src11(t):
     return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(records.same_bag(rows, t.spark.read.parquet(path))).alias("equal"), "rows")
 
 
-@query("src12", "SELECT subject || ' & ' || count(*) || ' & ' || count(*) FILTER (answer = gold) || ' \\\\' AS line FROM nat GROUP BY subject")
-def src12(t):
-    """Lines of a typeset table."""
-    got = t.nat.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"))
-    return got.select(F.concat_ws("", "subject", F.lit(" & "), F.col("n").cast("string"), F.lit(" & "), F.col("c").cast("string"), F.lit(" \\\\")).alias("line"))
+_COHORT = "co AS (SELECT subject, count(*) AS n, count(*) FILTER (answer = gold) AS c FROM nat GROUP BY subject)"
 
 
-@query("src13", "SELECT count(*) AS rows, count(DISTINCT event_id) AS ids FROM events", domain=False)
+@query(
+    "src12",
+    f"{_COHORT} SELECT 'latex' AS sink, line FROM (SELECT unnest(['\\begin{{tabular}}{{lrr}}', 'subject & runs & right \\\\', '\\end{{tabular}}']) AS line UNION ALL SELECT subject || ' & ' || n || ' & ' || c || ' \\\\' FROM co) UNION ALL SELECT 'markdown', line FROM (SELECT unnest(['| subject | runs | right |', '|---|---|---|']) AS line UNION ALL SELECT '| ' || subject || ' | ' || n || ' | ' || c || ' |' FROM co) UNION ALL SELECT 'json', '{{\"subject\":\"' || subject || '\",\"runs\":' || n || ',\"right\":' || c || '}}' FROM co",
+)
+def src12(t):
+    """A report's table written as typeset, Markdown and JSON lines, and read back."""
+    got = t.nat.groupBy("subject").agg(F.count(F.lit(1)).alias("runs"), F.count_if("correct").alias("right"))
+    out = None
+    for sink in ("latex", "markdown", "json"):
+        path = records.scratch(t.spark, f"report-{sink}")
+        records.write_report(got.orderBy("subject"), path, sink)
+        one = t.spark.read.text(path).select(F.lit(sink).alias("sink"), F.col("value").alias("line"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("src13", "SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, true AS refused FROM events", domain=False)
 def src13(t):
-    """Batches appended to one log under the commit protocol."""
+    """Batches appended to one log under the commit protocol, beside a file that can be made only once."""
     path = records.scratch(t.spark, "log")
     rows = t.read("events", "event_id", "event_type")
+    records.create_once(t.spark, f"{path}.header", "event log")
     for k in range(2):
         rows.where(F.col("event_id") % 2 == k).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("ids"))
+    try:
+        records.create_once(t.spark, f"{path}.header", "another log")
+        refused = False
+    except FileExistsError:
+        refused = t.spark.read.text(f"{path}.header").first()[0] == "event log"
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("ids")).withColumn("refused", F.lit(refused))
 
 
 @query("src14", "SELECT p_partkey, p_name, p_retailprice FROM part", domain=False)
@@ -297,13 +315,27 @@ def jn12(t):
 _AUDIT_KEY = "coalesce(run_id, -1)"
 
 
-@query("srt01", "a AS (SELECT event_id, 'shard-' || lpad(CAST(qid % 16 AS VARCHAR), 3, '0') AS shard_id, CASE WHEN idx = 0 THEN NULL ELSE 'cp-' || lpad(CAST(idx AS VARCHAR), 2, '0') END AS checkpoint_id, qid, run_id, idx FROM ck) SELECT event_id, row_number() OVER (PARTITION BY shard_id ORDER BY qid, run_id, CASE WHEN checkpoint_id IS NULL THEN -2 ELSE CAST(substr(checkpoint_id, 4) AS INT) END, event_id) AS place, shard_id FROM a")
+_AUDIT_KEYS = "a AS (SELECT event_id, 'shard-' || lpad(CAST(qid % 16 AS VARCHAR), 3, '0') AS shard_id, CASE WHEN event_id % 50 = 0 THEN 'shard' ELSE 'record' END AS scope, CASE WHEN event_id % 50 = 0 THEN NULL ELSE 'q' || lpad(CAST(qid AS VARCHAR), 8, '0') END AS question_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE run_id END AS run, CASE WHEN idx = 0 OR event_id % 50 = 0 THEN NULL ELSE 'cp-' || lpad(CAST(idx AS VARCHAR), 2, '0') END AS checkpoint_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 3 END AS attempt, run_id * 11 + idx AS seq, event_type FROM ck)"
+
+
+@query("srt01", f"{_AUDIT_KEYS} SELECT event_id, row_number() OVER (PARTITION BY shard_id ORDER BY CASE scope WHEN 'shard' THEN 0 ELSE 1 END, coalesce(question_id, ''), coalesce(run, -1), CASE WHEN checkpoint_id IS NULL THEN -2 ELSE CAST(substr(checkpoint_id, 4) AS INT) END, coalesce(attempt, -1), seq, event_type, event_id) AS place, shard_id FROM a")
 def srt01(t):
-    """Canonical order of the audit log within its shards; null checkpoints go first."""
-    rows = t.ck.select("event_id", F.concat(F.lit("shard-"), F.lpad((F.col("qid") % 16).cast("string"), 3, "0")).alias("shard_id"), F.when(F.col("idx") > 0, F.concat(F.lit("cp-"), F.lpad(F.col("idx").cast("string"), 2, "0"))).alias("checkpoint_id"), *RUN)
-    cp = F.coalesce(F.substring("checkpoint_id", 4, 9).cast("int"), F.lit(-2))
-    w = Window.partitionBy("shard_id").orderBy("qid", "run_id", cp, "event_id")
-    return rows.select("event_id", n(F.row_number().over(w), "place"), "shard_id")
+    """Canonical order of the audit log by nine keys, nulls as -1, -2 or ''; the first key, the shard, splits the sort."""
+    whole = F.col("event_id") % 50 == 0
+    named = lambda prefix, c, width: F.concat(F.lit(prefix), F.lpad(c.cast("string"), width, "0"))
+    rows = t.ck.select(
+        "event_id",
+        named("shard-", F.col("qid") % 16, 3).alias("shard_id"),
+        F.when(whole, "shard").otherwise("record").alias("event_scope"),
+        F.when(~whole, named("q", F.col("qid"), 8)).alias("question_id"),
+        F.when(~whole, F.col("run_id")).alias("run_id"),
+        F.when(~whole & (F.col("idx") > 0), named("cp-", F.col("idx"), 2)).alias("checkpoint_id"),
+        F.when(F.col("event_id") % 9 != 0, F.col("event_id") % 3).alias("attempt_number"),
+        (F.col("run_id") * 11 + F.col("idx")).alias("event_sequence"),
+        "event_type",
+    )
+    shard, *keys = records.audit_keys()
+    return rows.select("event_id", n(F.row_number().over(Window.partitionBy(shard).orderBy(*keys)), "place"), "shard_id")
 
 
 @query("srt02", "SELECT qid, run_id FROM nat ORDER BY qid, run_id")
@@ -319,10 +351,12 @@ def srt03(t):
     return t.nat.select("qid", "subject", place.alias("place")).distinct().orderBy("place", "qid")
 
 
-@query("srt04", "SELECT qid, run_id, confidence FROM ev WHERE NOT correct ORDER BY confidence DESC, h_mean, qid, run_id LIMIT 10")
+@query("srt04", "SELECT * FROM (SELECT 'overconfident' AS list, qid, run_id, confidence FROM ev WHERE NOT correct ORDER BY confidence DESC, h_mean, qid, run_id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'disagreeing', qid, run_id, confidence FROM ev WHERE confidence >= 0.9 ORDER BY h_mean DESC, qid, run_id LIMIT 10)")
 def srt04(t):
-    """The ten most confident wrong runs."""
-    return t.ev.where("not correct").orderBy(F.desc("confidence"), "h_mean", *RUN).select(*RUN, "confidence").limit(10)
+    """The ten most confident wrong runs, and the ten confident ones of the highest entropy."""
+    wrong = t.ev.where("not correct").orderBy(F.desc("confidence"), "h_mean", *RUN).limit(10)
+    odd = t.ev.where("confidence >= 0.9").orderBy(F.desc("h_mean"), *RUN).limit(10)
+    return wrong.select(F.lit("overconfident").alias("list"), *RUN, "confidence").unionByName(odd.select(F.lit("disagreeing").alias("list"), *RUN, "confidence"))
 
 
 _BAL = "c2 AS (SELECT qid, run_id, subject, correct, md5('42:' || qid || ':' || run_id) AS k FROM ev), u2 AS (SELECT *, row_number() OVER (PARTITION BY correct, subject ORDER BY k) AS s FROM c2), o2 AS (SELECT *, row_number() OVER (PARTITION BY correct ORDER BY s > 1, k) AS place FROM u2)"
@@ -355,14 +389,6 @@ def set01(t):
     return out.agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("set02", "SELECT 'natural' AS family, subject, NULL::INT AS idx, count(*) AS n FROM nat GROUP BY subject UNION ALL SELECT 'checkpoint', subject, idx, count(*) FROM ck GROUP BY subject, idx")
-def set02(t):
-    """Metric families one after the other; columns that one lacks are null."""
-    a = t.nat.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).withColumn("family", F.lit("natural"))
-    b = t.ck.groupBy("subject", "idx").agg(F.count(F.lit(1)).alias("n")).withColumn("family", F.lit("checkpoint"))
-    return a.unionByName(b, allowMissingColumns=True).select("family", "subject", F.col("idx").cast("int").alias("idx"), "n")
-
-
 @query("set05", "SELECT true AS same, false AS other FROM region LIMIT 1", domain=False)
 def set05(t):
     """Equality of bags of rows."""

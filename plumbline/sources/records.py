@@ -176,3 +176,56 @@ def unchanged(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     both = before.join(now, F.col(key) == F.col("__key"), "full")
     same = F.col("bytes").eqNullSafe(F.col("__bytes")) & F.col("sha256").eqNullSafe(F.col("__sha"))
     return both.select(F.coalesce(key, "__key").alias(key), "bytes", "sha256", same.alias("unchanged"))
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> None:
+    """Makes a file that isn't there yet; the file system refuses a second one, so of two writers one fails."""
+    fs, target = _fs(spark, path)
+    try:
+        out = fs.create(target, False)
+    except Exception as e:
+        if fs.exists(target):
+            raise FileExistsError(path) from e
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+    finally:
+        out.close()
+
+
+def write_report(table: DataFrame, path: str, sink: str) -> None:
+    """A small sorted table as lines of text: ``latex``, ``markdown`` or ``json``."""
+    names = table.columns
+    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]
+    if sink == "json":
+        table.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])).alias("value")).coalesce(1).write.text(path)
+        return
+    if sink == "latex":
+        numbers = [f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal") for f in table.schema.fields]
+        before = [f"\\begin{{tabular}}{{{''.join('r' if x else 'l' for x in numbers)}}}", " & ".join(names) + " \\\\"]
+        row, after = F.concat(F.concat_ws(" & ", *text), F.lit(" \\\\")), ["\\end{tabular}"]
+    elif sink == "markdown":
+        before = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
+        row, after = F.concat(F.lit("| "), F.concat_ws(" | ", *text), F.lit(" |")), []
+    else:
+        raise ValueError(f"unknown sink: {sink}")
+    lines = [x["v"] for x in table.select(row.alias("v")).collect()]  # a report is small
+    spark = table.sparkSession
+    spark.createDataFrame([(x,) for x in [*before, *lines, *after]], "value string").coalesce(1).write.text(path)
+
+
+def audit_keys() -> list:
+    """The nine keys of the audit log's order: shard, shard events first, question, run, checkpoint, attempt, sequence, type, identifier."""
+    number = lambda c, start: F.substring(c, start, 9).cast("int")
+    return [
+        number("shard_id", 7),
+        F.when(F.col("event_scope") == "shard", 0).otherwise(1),
+        F.coalesce("question_id", F.lit("")),
+        F.coalesce("run_id", F.lit(-1)),
+        F.coalesce(number("checkpoint_id", 4), F.lit(-2)),
+        F.coalesce("attempt_number", F.lit(-1)),
+        F.col("event_sequence"),
+        F.col("event_type"),
+        F.col("event_id"),
+    ]
