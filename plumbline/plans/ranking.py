@@ -46,15 +46,7 @@ _COUNTS = ["total", "target_missing", "predictor_missing", "eligible", "positive
 
 def metric_rows(long, by):
     """Seven rows for each metric: pooled, the subjects, and their macro mean; with cohort counts."""
-    rows = rank.with_groups(long)
-    keys = [*by, "grouping", "grp"]
-    counts = rank.feature_cohort(rows, keys, F.col("correct"), F.col("x"))
-    areas = rank.auroc(rows, keys, "correct", "x").select(*keys, F.round("auroc", 10).alias("auroc"))
-    on = [counts[k].eqNullSafe(areas[k]) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    m = counts.join(areas, cond, "left").select(*[counts[k] for k in keys], *_COUNTS, "auroc")
+    m = rank.cohort_areas(long, by, "correct", "x").withColumn("auroc", F.round("auroc", 10))
     return m.unionByName(rank.macro(m, by, "auroc", _COUNTS))
 
 
@@ -73,9 +65,8 @@ def ana01(t):
 
 @query("agg07", f"{_METRICS} SELECT fx, grouping, grp, eligible, auroc FROM m WHERE fx IN (6, 9)")
 def agg07(t):
-    rows = rank.with_groups(t.long.where("fx in (6, 9)"))
-    out = rank.auroc(rows, ["fx", "grouping", "grp"], "correct", "x")
-    return out.select("fx", "grouping", "grp", n(F.col("positives") + F.col("negatives"), "eligible"), r("auroc", "auroc"))
+    out = rank.cohort_areas(t.long.where("fx in (6, 9)"), ["fx"], "correct", "x")
+    return out.select("fx", "grouping", "grp", "eligible", r("auroc", "auroc"))
 
 
 @query("agg08", f"{_METRICS} SELECT fx, eligible, positive, round(auroc, 5) AS auroc FROM mac")
@@ -199,12 +190,12 @@ def _boot_sql(replicates: int) -> str:
 def _replicates(t, replicates):
     plan = bootstrap.hashed_draws(t.ev, "subject", "qid", replicates)
     rows = t.ev.select("subject", "qid", "correct", (-F.col("h_mean")).alias("x")).join(plan, ["subject", "qid"])
-    return rank.auroc(rows, ["replicate"], "correct", "x", "m", ranges=1)
+    return rank.auroc(rows, ["replicate"], "correct", "x", "m")
 
 
 @query("bst06", f"{_boot_sql(50)} SELECT replicate, positives, negatives, auroc FROM b")
 def bst06(t):
-    """Replicate areas by weights; no row is copied."""
+    """Replicate areas by weights: a row meets its question's multiplicity in the replicates that drew it, and is never repeated for it."""
     return _replicates(t, 50).select("replicate", "positives", "negatives", r("auroc", "auroc"))
 
 
@@ -219,7 +210,7 @@ def bst08(t):
     """Macro of each replicate, undefined where a subject is."""
     plan = bootstrap.hashed_draws(t.ev, "subject", "qid", 30)
     rows = t.ev.select("subject", "qid", "correct", (-F.col("h_mean")).alias("x")).join(plan, ["subject", "qid"])
-    got = rank.auroc(rows, ["replicate", "subject"], "correct", "x", "m", ranges=1).withColumn("auroc", F.round("auroc", 10))
+    got = rank.auroc(rows, ["replicate", "subject"], "correct", "x", "m").withColumn("auroc", F.round("auroc", 10))
     return got.groupBy("replicate").agg(r(F.when(F.count("auroc") == 5, F.avg("auroc")), "macro", 5))
 
 

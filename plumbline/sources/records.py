@@ -229,3 +229,10 @@ def audit_keys() -> list:
         F.col("event_type"),
         F.col("event_id"),
     ]
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A frame written to the run's folder and read back: what it was made of is not computed again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
