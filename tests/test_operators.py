@@ -19,12 +19,19 @@ def area(spark, y, s, w=None, kind="double"):
     return rank.auroc(spark.createDataFrame(rows, f"y boolean, s {kind}, w int"), [], "y", "s", "w").first()["auroc"]
 
 
-@pytest.mark.parametrize(
-    ("y", "s", "want"),
-    [([0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9], 1.0), ([0, 0, 1, 1], [0.9, 0.8, 0.2, 0.1], 0.0), ([0, 1], [0.5, 0.5], 0.5), ([0, 0, 1, 1], [0.0, 1.0, 1.0, 1.0], 0.75), ([1, 1], [0.1, 0.2], None)],
-)
-def test_area(spark, y, s, want):
-    assert area(spark, [bool(v) for v in y], s) == want
+def plain_area(pairs):
+    """Share of (right, wrong) pairs that the score orders, ties a half."""
+    pos, neg = [x for y, x in pairs if y], [x for y, x in pairs if not y]
+    return sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_area(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.random() < rng.choice([0.1, 0.5]), rng.choice([rng.random(), 0.25, -1.0])) for _ in range(rng.choice([2, 9, 80]))]
+    got, want = area(spark, *map(list, zip(*pairs, strict=True))), plain_area(pairs)
+    assert got is want is None or math.isclose(got, want, rel_tol=1e-12)
+    assert area(spark, [True] * 3, [0.3, 0.1, 0.3]) is None
 
 
 def test_area_keeps_large_integers_apart(spark):
@@ -36,21 +43,64 @@ def test_weighted_area(spark):
     assert area(spark, [False, True, True], [0.1, 0.2, 0.3], [0, 2, 1]) is None
 
 
-def test_area_over_many_ranges(spark):
+@pytest.mark.parametrize("ranges", [None, 1, 5, 32])
+def test_area_over_many_ranges(spark, monkeypatch, ranges):
     rng = random.Random(5)
-    rows = [(rng.choice("ab"), rng.random() < 0.4, rng.choice([rng.random(), 0.5, 0.25])) for _ in range(3000)]
-    got = {r["g"]: r["auroc"] for r in rank.auroc(spark.createDataFrame(rows, "g string, y boolean, s double"), ["g"], "y", "s").collect()}
-    for g in "ab":
-        pos, neg = [s for k, y, s in rows if k == g and y], [s for k, y, s in rows if k == g and not y]
-        want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
-        assert math.isclose(got[g], want, rel_tol=1e-12)
+    rows = [(rng.choice(["a", "b", None]), rng.random() < 0.4, rng.choice([rng.random(), 0.5, 0.25])) for _ in range(2000)]
+    if ranges == 5:
+        monkeypatch.setattr(rank, "WHOLE", 10)  # the size asks for ranges
+        monkeypatch.setattr(rank, "RANGES", 5)
+        ranges = None
+    got = {r["g"]: r["auroc"] for r in rank.auroc(spark.createDataFrame(rows, "g string, y boolean, s double"), ["g"], "y", "s", ranges=ranges).collect()}
+    for g in ("a", "b", None):
+        assert math.isclose(got[g], plain_area([(y, x) for k, y, x in rows if k == g]), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("whole", [0, 10**6])
+def test_areas_of_cohorts(spark, monkeypatch, whole):
+    monkeypatch.setattr(rank, "WHOLE", whole)
+    rng = random.Random(9)
+    rows = [(rng.randrange(2), rng.choice("st"), rng.choice([True, False, None]), rng.choice([None, 0.5, rng.random()])) for _ in range(600)] + [(7, "s", True, None)]
+    got = {(r["fx"], r["grouping"], r["grp"]): r for r in rank.cohort_areas(spark.createDataFrame(rows, "fx int, subject string, y boolean, x double"), ["fx"], "y", "x").collect()}
+    want = {(fx, "pooled", None) for fx in (0, 1, 7)} | {(fx, "subject", g) for fx in (0, 1) for g in "st"} | {(7, "subject", "s")}
+    assert got.keys() == want
+    for (fx, _, g), r in got.items():
+        own = [(y, x) for f, s, y, x in rows if f == fx and g in (None, s)]
+        used = [(y, x) for y, x in own if y is not None and x is not None]
+        counts = [len(own), sum(y is None for y, _ in own), sum(y is not None and x is None for y, x in own), len(used), sum(y for y, _ in used)]
+        assert [r[c] for c in ("total", "target_missing", "predictor_missing", "eligible", "positive")] == counts
+        area_ = plain_area(used)
+        assert r["auroc"] is area_ is None or math.isclose(r["auroc"], area_, rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("whole", [0, 10**6])
+def test_rank_correlation(spark, monkeypatch, whole):
+    monkeypatch.setattr(rank, "WHOLE", whole)
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.randrange(9) / 4, rng.random(), None]), rng.choice([rng.randrange(5), None])) for _ in range(500)] + [("two", 1.0, 2), ("two", 2.0, 1), ("flat", 1.0, 1), ("flat", 2.0, 1), ("flat", 3.0, 1)]
+    got = {r["g"]: (r["n"], r["rho"]) for r in rank.spearman(spark.createDataFrame(rows, "g string, x double, y int"), ["g"], "x", "y").collect()}
+
+    def ranks(v):
+        return [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
+
+    for g in ("a", "b", None, "two", "flat"):
+        both = [(x, y) for k, x, y in rows if k == g and x is not None and y is not None]
+        rx, ry = (ranks(list(v)) for v in zip(*both, strict=True))
+        assert got[g][0] == len(both)
+        if len(both) < 3 or len(set(ry)) == 1:
+            assert got[g][1] is None
+        else:
+            assert math.isclose(got[g][1], np.corrcoef(rx, ry)[0, 1], rel_tol=1e-10)
 
 
 def test_calibration_error(spark):
-    df = spark.createDataFrame([(False, 0.0), (True, 0.1), (False, 0.9), (True, 1.0)], "y boolean, c double")
-    bins = calibration.reliability(df, [], F.col("y"), F.col("c"))
-    assert [r["n"] for r in bins.orderBy("bin").collect()] == [1, 1, 0, 0, 0, 0, 0, 0, 0, 2]
-    assert math.isclose(calibration.ece(bins, []).first()["ece"], 0.45)
+    rng = random.Random(2)
+    rows = [(rng.random() < 0.6, rng.choice([0.0, 1.0, rng.random()])) for _ in range(300)]
+    bins = calibration.reliability(spark.createDataFrame(rows, "y boolean, c double"), [], F.col("y"), F.col("c"))
+    want = [[(y, c) for y, c in rows if min(9, int(c * 10)) == b] for b in range(10)]
+    assert [r["n"] for r in bins.orderBy("bin").collect()] == [len(w) for w in want]
+    error = sum(abs(sum(y for y, _ in w) - sum(c for _, c in w)) for w in want) / len(rows)
+    assert math.isclose(calibration.ece(bins, []).first()["ece"], error, rel_tol=1e-9)
 
 
 def test_weighted_calibration_error(spark):
@@ -94,52 +144,140 @@ def test_weights_equal_copies(rows, m):
         assert math.isclose(got, ((pos[:, None] > neg) + (pos[:, None] == neg) / 2).mean())
 
 
-A, B, C = "A", "B", "C"
-ALIAS, MISSING, INVALID = "alias", "missing", "invalid"
-
-
-def runs(spark, cases, answer=None, gold=A):
-    """A row per case: eleven entries, each a letter, (ALIAS, letter), MISSING or INVALID."""
-    rows = []
-    for case in cases:
+def plain_walk(slots):
+    """Switches, transitions, where right was left, and whether it came back; one slot after the other."""
+    before, switches, transitions, left, back = None, 0, 0, None, False
+    for i, slot in enumerate(slots):
+        if slot is not None and slot[1]:
+            continue
+        if slot is None or slot[0] is None:
+            before = None
+            continue
+        back = back or (left is not None and slot[2])
+        if before is not None:
+            transitions += 1
+            switches += before[0] != slot[0]
+            if left is None and before[2] and not slot[2]:
+                left = i
+        before = slot
+    return switches, transitions, left, back
+
+
+def plain_stabilization(slots):
+    """The least own slot from which every later one is there and is an alias or has the last answer."""
+    end = slots[-1]
+    if end is None or end[0] is None:
+        return None
+    good = [s is not None and (s[1] or s[0] == end[0]) for s in slots]
+    starts = [i for i, s in enumerate(slots) if s is not None and not s[1] and s[0] == end[0] and all(good[i:])]
+    return min(starts) / 10 if starts else None
+
+
+def random_runs(n):
+    rng = random.Random(n)
+    for _ in range(n):
+        letters = rng.choice(["AB", "ABCD", "A"])
+        missing, invalid, alias = rng.choice([(0, 0, 0), (0.1, 0.1, 0.2), (0, 0.3, 0.5)])
         slots = []
-        for x in case:
-            letter, alias = (x[1], True) if isinstance(x, tuple) else (x, False)
-            slots.append(None if x == MISSING else (None, False, None) if x == INVALID else (letter, alias, letter == gold))
-        rows.append((answer, slots))
-    return spark.createDataFrame(rows, "answer string, slots array<struct<ans: string, alias: boolean, correct: boolean>>").coalesce(1)
-
-
-@pytest.mark.parametrize(
-    ("case", "want"),
-    [([A, A, *[B] * 9], (1, 10)), ([A, (ALIAS, B), *[A] * 9], (0, 9)), ([A, INVALID, *[B] * 9], (0, 8)), ([A, MISSING, *[B] * 9], (0, 8)), ([C, MISSING, A, *[C] * 8], (1, 8))],
-)
-def test_switches(spark, case, want):
-    got = runs(spark, [case]).select(trajectory.walk().alias("w")).first()["w"]
-    assert (got["switches"], got["transitions"]) == want
-
-
-@pytest.mark.parametrize(
-    ("case", "want"),
-    [
-        ([A] * 11, 0.0),
-        ([A, A, B, B, *[C] * 7], 0.4),
-        ([*[A] * 10, C], 1.0),
-        ([*[A] * 10, INVALID], None),
-        ([A, A, A, INVALID, *[A] * 7], 0.4),
-        ([*[A] * 8, INVALID, A, A], 0.9),
-        ([*[A] * 9, MISSING, A], 1.0),
-        ([C, MISSING, A, *[C] * 8], 0.3),
-        ([*[A] * 10, MISSING], None),
-    ],
-)
-def test_stabilization(spark, case, want):
-    assert runs(spark, [case]).select(trajectory.stabilization().alias("s")).first()["s"] == want
-
-
-def test_left_and_recovered(spark):
-    got = [r["w"] for r in runs(spark, [[A, B, *[B] * 9], [A, B, INVALID, A, *[A] * 7], [B] * 11]).select(trajectory.walk().alias("w")).collect()]
-    assert [(w["left_at"], w["recovered"]) for w in got] == [(1, False), (1, True), (None, False)]
+        for _ in range(11):
+            x = rng.choice(letters)
+            slots.append(None if rng.random() < missing else (None, False, None) if rng.random() < invalid else (x, rng.random() < alias, x == "A"))
+        yield slots
+
+
+def test_trajectories(spark):
+    cases = list(random_runs(400))
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, slots array<struct<ans: string, alias: boolean, correct: boolean>>")
+    got = {r["k"]: r for r in df.select("k", trajectory.walk().alias("w"), trajectory.stabilization().alias("s")).collect()}
+    for k, slots in enumerate(cases):
+        w = got[k]["w"]
+        assert (w["switches"], w["transitions"], w["left_at"], w["recovered"]) == plain_walk(slots), slots
+        assert got[k]["s"] == plain_stabilization(slots), slots
+    assert len({plain_walk(c)[:3] for c in cases}) > 30 and len({plain_stabilization(c) for c in cases}) > 8
+
+
+def test_checkpoints_without_a_run_are_an_error(spark):
+    runs = spark.createDataFrame([("r1", 5), ("r2", 6)], "record_id string, x int")
+    own = [("r1", 0, "A"), ("r1", 10, "B")]
+    got = {r["record_id"]: r["slots"] for r in trajectory.attached(runs, spark.createDataFrame(own, "parent string, idx int, ans string"), "record_id", "parent", "idx", ["ans"]).collect()}
+    assert [s and s["ans"] for s in got["r1"]] == ["A", *[None] * 9, "B"] and got["r2"] == [None] * 11
+    with pytest.raises(ValueError, match="2 checkpoints have no run, the first of r0"):
+        trajectory.attached(runs, spark.createDataFrame([*own, ("r9", 1, "A"), ("r0", 1, "A")], "parent string, idx int, ans string"), "record_id", "parent", "idx", ["ans"])
+
+
+def test_inheritance(spark):
+    parents = spark.createDataFrame([("p1", "s", 1), ("p2", None, 2)], "pid string, a string, b int")
+    children = spark.createDataFrame([("c1", "p1", "s", 1), ("c2", "p1", "t", 3), ("c3", "p2", None, 2), ("c4", "p9", "s", 1), ("c3", "p2", "x", 2)], "cid string, pid string, a string, b int")
+    got = sorted((r["cid"], r["orphan"], tuple(r["wrong_fields"]), r["duplicate"]) for r in trajectory.inheritance(children, parents, "pid", ["a", "b"], "cid").collect())
+    assert got == [("c1", False, (), False), ("c2", False, ("a", "b"), False), ("c3", False, (), True), ("c3", False, ("a",), True), ("c4", True, (), False)]
+
+
+def test_audit_of_bins_finds_each_defect(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.random() < 0.5, rng.random()) for _ in range(400)]
+    cohort = rank.with_groups(spark.createDataFrame(rows, "subject string, y boolean, c double"))
+    keys = ["grouping", "grp"]
+    good = calibration.reliability(cohort, keys, F.col("y"), F.col("c")).withColumn("source", F.lit("good"))
+    at = (F.col("grp") == "a") & (F.col("bin") == 3)
+    broken = {
+        "cardinality": good.where(~F.coalesce(at, F.lit(False))),
+        "counts": good.withColumn("n", F.col("n") + F.when(at, 1).otherwise(0)),
+        "bounds": good.withColumn("accuracy", F.when(at, 1.5).otherwise(F.col("accuracy"))),
+        "sums": good.withColumn("contribution", F.col("contribution") + F.when(at, 1e-6).otherwise(0.0)),
+        "partition": good.withColumn("n", F.col("n") + F.when((F.col("grouping") == "pooled") & (F.col("bin") == 3), 1).otherwise(0)),
+    }
+    every = good
+    for name, table in broken.items():
+        every = every.unionByName(table.withColumn("source", F.lit(name)))
+    got = {r["source"]: r for r in calibration.audit(every, cohort, keys, "y", "c").collect()}
+    assert [got["good"][k] for k in broken] == [0] * 5
+    for name in broken:
+        assert got[name][name] == 1, name
+
+
+def test_inventory_and_identity_do_not_depend_on_order(spark):
+    lines = [("s1/a", "x"), ("s1/a", "yy"), ("s0/b", ""), ("s0/b", "é")]
+    make = lambda rows: coverage.inventory(spark.createDataFrame(rows, "path string, line string"), ["path"], "line")
+    a, b = make(lines), make(lines[::-1])
+    assert sorted(a.collect()) == sorted(b.collect()) and {r["path"]: (r["lines"], r["bytes"]) for r in a.collect()} == {"s1/a": (2, 5), "s0/b": (2, 4)}
+    ident = lambda files, names: coverage.report_identity(files.select("path", "bytes", "mark"), names).first()[0]
+    assert ident(a, ["m"]) == ident(b, ["m"]) != ident(a, ["n"])
+    assert ident(make([*lines[:3], ("s0/b", "e")]), ["m"]) != ident(a, ["m"])
+
+
+def test_files_made_once_snapshots_and_reports(spark, tmp_path):
+    records.create_once(spark, str(tmp_path / "one"), "first\n")
+    with pytest.raises(FileExistsError):
+        records.create_once(spark, str(tmp_path / "one"), "second\n")
+    assert (tmp_path / "one").read_text() == "first\n"
+    (tmp_path / "two").write_text("2")
+    before = records.snapshot(spark, str(tmp_path / "*o*")).select("name", "bytes", "sha256")
+    before = spark.createDataFrame(before.collect(), before.schema)
+    (tmp_path / "two").write_text("3")
+    (tmp_path / "oooh").write_text("new")
+    now = records.snapshot(spark, str(tmp_path / "*o*")).select("name", "bytes", "sha256")
+    assert {r["name"]: r["unchanged"] for r in records.unchanged(before, now, "name").collect()} == {"one": True, "two": False, "oooh": False}
+    table = spark.createDataFrame([("a", 1), ("b", None)], "name string, n int").orderBy("name")
+    want = {"markdown": ["| name | n |", "|---|---|", "| a | 1 |", "| b |  |"], "latex": ["\\begin{tabular}{lr}", "name & n \\\\", "a & 1 \\\\", "b &  \\\\", "\\end{tabular}"], "json": ['{"name":"a","n":1}', '{"name":"b"}']}
+    for sink, lines in want.items():
+        records.write_report(table, str(tmp_path / sink), sink)
+        assert [r["value"] for r in spark.read.text(str(tmp_path / sink)).collect()] == lines
+
+
+def test_joint_logistic_model(spark):
+    from plumbline.plans import figures
+    from plumbline.plans.domain import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    got = {r["statistic"]: r["estimate"] for r in figures.ana12_logit(t).collect()}
+    e = figures._length_rows(t).toPandas()
+    x = np.stack([np.ones(len(e)), e["h"], e["l"], *[(e["subject"] == s).astype(float) for s in scalars.SUBJECTS[1:]]], 1)
+    y, beta, ridge = e["c"].to_numpy(), np.zeros(x.shape[1]), np.diag([0.0] + [1e-6] * (x.shape[1] - 1))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta = beta + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ beta)
+    assert np.allclose([v for k, v in got.items() if k != "area"], beta, atol=1e-6)
+    assert math.isclose(got["area"], plain_area(list(zip(e["correct"], np.round(x @ beta, 8), strict=True))), abs_tol=1e-3)
 
 
 def test_within_question(spark):
