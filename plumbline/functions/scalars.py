@@ -185,8 +185,8 @@ def prompt(question: Column, choices: Column) -> Column:
 
 
 def is_rfc3339(text: Column) -> Column:
-    """A date, a time and an offset that exist."""
-    shape = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
+    """A date, a time and an offset that exist; T and Z are capitals."""
+    shape = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$")
     return shape & F.try_to_timestamp(text).isNotNull()
 
 

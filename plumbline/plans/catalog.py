@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import auditing, calibrating, describing, figures, lifecycle, ranking, records  # noqa: F401
+from plumbline.plans import auditing, calibrating, describing, figures, lifecycle, parsing, ranking, records  # noqa: F401
 from plumbline.plans.registry import QUERIES, SQL
 
 

@@ -232,13 +232,6 @@ def sel05(t):
     return t.ev.join(mixed, "qid", "left_semi").select(*RUN)
 
 
-@query("sel06", "SELECT i AS qid, CASE WHEN q.qid IS NULL THEN 'skipped' WHEN q.full_runs > 0 THEN 'closed' ELSE 'truncated' END AS status FROM unnest(range(200)) AS u(i) LEFT JOIN (SELECT qid, count(*) FILTER (n_ck = 11) AS full_runs FROM nat GROUP BY qid) q ON q.qid = i")
-def sel06(t):
-    """Each expected question as closed, truncated or skipped."""
-    got = t.nat.groupBy("qid").agg(F.count_if(F.col("n_ck") == 11).alias("full"))
-    return t.spark.range(200).withColumnRenamed("id", "qid").join(got, "qid", "left").select("qid", F.when(F.col("full").isNull(), "skipped").when(F.col("full") > 0, "closed").otherwise("truncated").alias("status"))
-
-
 @query("sel07", "SELECT qid, run_id, replace(replace(subject, 'high_school_', ''), '_', ' ') AS label FROM nat")
 def sel07(t):
     """Labels of subjects by a map."""
@@ -429,116 +422,11 @@ def fn08(t):
     return t.ck.select("n_think", "idx", "k_keep", "alias").distinct()
 
 
-@query("fn09", f"SELECT doc_id, sha256({_ENV} || '{{\"prefix_version\":\"part1-token-id-prefix-v1\",\"token_ids\":[' || array_to_string(range(doc_id % 7), ',') || ']}}}}') AS h FROM documents", domain=False)
-def fn09(t):
-    tokens = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: i < F.col("doc_id") % 7)
-    return t.read("documents", "doc_id").select("doc_id", identity.prefix_hash(tokens).alias("h"))
-
-
-_OUT = """x AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'Answer: D
-</think>
-' ELSE '</think>
-Answer: E
-' END || 'so' || CASE conv_id % 6 WHEN 0 THEN '
-Answer: B
-Confidence: 85' WHEN 1 THEN '
-Answer: Z
-Confidence: high' WHEN 2 THEN '
-  Answer:  C
-Confidence: 140' WHEN 3 THEN '
-Answer: A
-
-Confidence: 50' WHEN 4 THEN '' ELSE '
-Answer:
-Confidence: +7' END AS out, turn % 5 AS t5, conv_id % 6 AS c6 FROM conversations)"""
-
-
-def _outputs(t):
-    head = F.when(F.col("turn") % 5 == 0, "Answer: D\n</think>\n").otherwise("</think>\nAnswer: E\n")
-    tails = ["\nAnswer: B\nConfidence: 85", "\nAnswer: Z\nConfidence: high", "\n  Answer:  C\nConfidence: 140", "\nAnswer: A\n\nConfidence: 50", "", "\nAnswer:\nConfidence: +7"]
-    tail = F.element_at(F.array(*[F.lit(x) for x in tails]), (F.col("conv_id") % 6).cast("int") + 1)
-    return t.read("conversations", "conv_id", "turn").withColumn("out", F.concat(head, F.lit("so"), tail))
-
-
-@query(
-    "fn10",
-    f"""{_OUT} SELECT conv_id, turn, CASE c6 WHEN 0 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'A' END AS answer,
-  CASE WHEN c6 IN (0, 2, 3) THEN 'parsed' WHEN c6 = 1 THEN 'out_of_domain' WHEN c6 = 5 THEN 'missing' WHEN t5 = 0 THEN 'missing' ELSE 'out_of_domain' END AS answer_status,
-  CASE c6 WHEN 0 THEN 85 WHEN 2 THEN 140 WHEN 5 THEN 7 END AS confidence, CASE c6 WHEN 0 THEN 'parsed' WHEN 1 THEN 'malformed' WHEN 2 THEN 'out_of_range' WHEN 5 THEN 'parsed' ELSE 'missing' END AS confidence_status FROM x""",
-)
-def fn10(t):
-    """Natural outputs: the last answer line after the reasoning, and the confidence right below it."""
-    got = _outputs(t).select("conv_id", "turn", scalars.terminal_block(scalars.natural_region(F.col("out"))).alias("p"))
-    return got.select("conv_id", "turn", F.col("p.answer").alias("answer"), F.col("p.answer_status").alias("answer_status"), F.col("p.confidence").alias("confidence"), F.col("p.confidence_status").alias("confidence_status"))
-
-
-@query("fn11", "SELECT conv_id, turn, CASE WHEN conv_id % 5 < 4 THEN substr('ABCD', CAST(conv_id % 5 AS INT) + 1, 1) END AS answer, CASE WHEN conv_id % 5 < 4 THEN 'parsed' ELSE 'out_of_domain' END AS status, CAST(turn AS BIGINT) AS confidence FROM conversations", domain=False)
-def fn11(t):
-    """Forced outputs: what the inducer began is put back first."""
-    letter = F.substr(F.lit("ABCDX"), (F.col("conv_id") % 5).cast("int") + 1, F.lit(1))
-    forced = F.concat(F.lit(" "), letter, F.lit("\nConfidence: "), F.col("turn").cast("string"))
-    rows = t.read("conversations", "conv_id", "turn").select("conv_id", "turn", scalars.terminal_block(F.concat(F.lit("Answer:"), forced)).alias("p"))
-    return rows.select("conv_id", "turn", F.col("p.answer").alias("answer"), F.col("p.answer_status").alias("status"), F.col("p.confidence").alias("confidence"))
-
-
-@query("fn12", "SELECT doc_id, CASE WHEN doc_id % 9 < 7 THEN CAST(doc_id % 9 AS INT) END AS at_start FROM documents", domain=False)
-def fn12(t):
-    """The first place of a run of tokens in a longer one."""
-    base = F.array(*[F.lit(i) for i in range(9)])
-    part = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda j: (F.col("doc_id") % 9).cast("int") + j)
-    return t.read("documents", "doc_id").select("doc_id", scalars.find_sequence(base, part).alias("at_start"))
-
-
-_RAW = "CASE doc_id % 6 WHEN 0 THEN '85' WHEN 1 THEN '<90>' WHEN 2 THEN '77<|im_end|>' WHEN 3 THEN '140' WHEN 4 THEN 'high' ELSE NULL END"
-
-
-def _raw(t):
-    d = F.col("doc_id") % 6
-    raw = F.when(d == 0, "85").when(d == 1, "<90>").when(d == 2, "77<|im_end|>").when(d == 3, "140").when(d == 4, "high")
-    return t.read("documents", "doc_id", "lang").withColumn("raw", raw)
-
-
-@query("fn13", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 85 WHEN 1 THEN 90 WHEN 2 THEN 77 END AS confidence FROM documents", domain=False)
-def fn13(t):
-    return _raw(t).select("doc_id", scalars.repaired_confidence(F.col("raw")).alias("confidence"))
-
-
-@query("ana14", "SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 6 = 0) AS parsed, count(*) FILTER (doc_id % 6 IN (1, 2)) AS recovered, count(*) FILTER (doc_id % 6 < 3) AS usable FROM documents GROUP BY lang", domain=False)
-def ana14(t):
-    """Confidences before and after repair."""
-    rows = _raw(t).withColumn("v", scalars.repaired_confidence(F.col("raw")))
-    plain = F.col("raw").rlike("^[0-9]+$") & F.col("v").isNotNull()
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(plain).alias("parsed"), F.count_if(F.col("v").isNotNull() & ~plain).alias("recovered"), F.count("v").alias("usable"))
-
-
-@query("fn14", "SELECT conv_id, turn, substr('ABCD', CAST(conv_id % 4 AS INT) + 1, 1) AS answer, CAST(least(100, turn * 40) AS INT) AS confidence FROM conversations", domain=False)
-def fn14(t):
-    """A tolerant parse: any case, emphasis, the last match."""
-    letter = F.substr(F.lit("abcd"), (F.col("conv_id") % 4).cast("int") + 1, F.lit(1))
-    text = F.concat(F.lit("Answer: D or **Answer**: "), letter, F.lit(" and _confidence_ : "), (F.col("turn") * 40).cast("string"))
-    return t.read("conversations", "conv_id", "turn").select("conv_id", "turn", scalars.tolerant_answer(text).alias("answer"), scalars.tolerant_confidence(text).alias("confidence"))
-
-
-@query("fn15", "SELECT doc_id, CAST((doc_id % 10) // 3 AS INT) AS token FROM documents", domain=False)
-def fn15(t):
-    """The token that holds a character."""
-    tokens = F.array(F.lit("The"), F.lit(" an"), F.lit("swe"), F.lit("r:"))
-    return t.read("documents", "doc_id").select("doc_id", scalars.token_at(tokens, (F.col("doc_id") % 10).cast("int")).alias("token"))
-
-
 @query("fn16", "SELECT event_id, ans = gold AS correct FROM ck")
 def fn16(t):
     return t.ck.select("event_id", scalars.correct(F.col("ans"), F.col("gold")).alias("correct"))
 
 
-@query("fn22", "SELECT doc_id, doc_id % 4 = 0 AS valid FROM documents", domain=False)
-def fn22(t):
-    """Times with an offset, of dates that exist."""
-    d = F.col("doc_id") % 4
-    text = F.when(d == 0, "2026-02-28T10:00:00Z").when(d == 1, "2026-02-30T10:00:00Z").when(d == 2, "2026-02-28 10:00:00").otherwise("yesterday")
-    return t.read("documents", "doc_id").select("doc_id", scalars.is_rfc3339(text).alias("valid"))
-
-
 @query("fn24", "SELECT p_partkey, p_name || chr(10) || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type AS prompt FROM part", domain=False)
 def fn24(t):
     return t.read("part", "p_partkey", "p_name", "p_brand", "p_type").select("p_partkey", scalars.prompt(F.col("p_name"), F.array("p_brand", "p_type")).alias("prompt"))
