@@ -32,6 +32,27 @@ def src01(t):
     return records.reject_middle(records.strict(rows, _PROPS)).select("record.event_id", "record.user_id", "record.event_type", "record.value")
 
 
+_LINE7 = "'{\"event_id\":' || event_id || ',\"user_id\":'"
+
+
+@query("evt07", f"lo AS (SELECT event_id % 4 AS part, event_id, event_id = max(event_id) OVER (PARTITION BY event_id % 4) AND event_id % 2 = 0 AS broken, substr({_LINE7}, 1, 14) AS cut FROM events) SELECT CAST(part AS VARCHAR) AS part, count(*) FILTER (NOT broken) AS records, CAST(max(strlen(cut)) FILTER (broken) AS BIGINT) AS cut_bytes, max(sha256(cut)) FILTER (broken) AS cut_sha256, 0 AS again FROM lo GROUP BY part".replace("lo AS", "WITH lo AS", 1), domain=False)
+def evt07(t):
+    """Broken last lines of two of four logs cut off under a journal; a second repair finds nothing to do."""
+    path = records.scratch(t.spark, "repaired")
+    rows = t.read("events", "event_id", "user_id", "event_type", "value")
+    line = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    for k in range(4):
+        own = rows.where(F.col("event_id") % 4 == k)
+        last = own.agg(F.max("event_id")).first()[0]
+        broken = (F.col("event_id") == F.lit(last)) & F.lit(k % 2 == 0)
+        own.select(F.when(broken, F.substring(line, 1, 14)).otherwise(line).alias("value"), "event_id").coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{path}/log/{k}")
+    cut = records.recover_tails(t.spark, f"{path}/log/*/part-*", _PROPS, f"{path}/journal")
+    again = len(records.recover_tails(t.spark, f"{path}/log/*/part-*", _PROPS, f"{path}/journal"))
+    got = t.spark.createDataFrame([(*x,) for x in cut], "file string, cut_bytes bigint, cut_sha256 string").withColumn("part", F.regexp_extract("file", "/log/([0-9])/", 1))
+    kept = records.strict(records.lines(t.spark, f"{path}/log/*/part-*"), _PROPS).where("status = 'record'").groupBy(F.regexp_extract("file", "/log/([0-9])/", 1).alias("part")).agg(F.count(F.lit(1)).alias("records"))
+    return kept.join(got.drop("file"), "part", "left").select("part", "records", "cut_bytes", "cut_sha256", F.lit(again).alias("again"))
+
+
 @query("src02", "SELECT message, count(*) AS n FROM (SELECT CASE WHEN event_id % 100 = 7 THEN 'malformed JSON' ELSE 'record' END AS message FROM events) GROUP BY message", domain=False)
 def src02(t):
     """Lenient lines: what can't be read is counted and placed."""

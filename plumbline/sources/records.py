@@ -236,3 +236,46 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _finish(fs, path_of, file: str, good: str) -> None:
+    """Puts the repaired lines in the file's place; may be repeated after any step."""
+    parts = [x.getPath() for x in fs.listStatus(path_of(good)) if x.getPath().getName().startswith("part-")]
+    if parts:
+        fs.delete(path_of(file), False)
+        if not fs.rename(parts[0], path_of(file)):
+            raise OSError(f"{file} could not be put back")
+    fs.delete(path_of(good), True)
+
+
+def recover_tails(spark: SparkSession, pattern: str, schema: str, journal: str) -> list[tuple[str, int, str]]:
+    """Repairs JSON-lines files whose last line is broken: (file, bytes, sha256 of what was cut off) of each.
+
+    The cut bytes go to quarantine and an entry to the journal before the file is touched; both are files
+    that can be made only once. A repair that stopped halfway is finished by the next call, and files
+    without a broken end are left alone. A broken line before the last is an error. The driver goes
+    through the repaired files one by one: they are logs, one writer at a time.
+    """
+    fs, _ = _fs(spark, journal)
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(path_of(journal)):
+        for x in fs.listStatus(path_of(journal)):
+            name = x.getPath().getName()
+            if name.endswith(".good") and fs.exists(path_of(f"{journal}/{name}/_SUCCESS")):
+                entry = spark.read.json(f"{journal}/{name.removesuffix('.good')}.json", schema="file STRING").first()
+                _finish(fs, path_of, entry["file"], f"{journal}/{name}")
+    rows = strict(lines(spark, pattern), schema)
+    reject_middle(rows).count()
+    found = rows.where("status = 'tail'").select("file", "value", F.octet_length("value").alias("bytes"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256")).collect()  # a row a file
+    out = []
+    for r in sorted(found):
+        name = f"{journal}/{uuid.uuid5(uuid.NAMESPACE_URL, r['file']).hex}.{r['sha256'][:16]}"
+        entry = spark.createDataFrame([(r["file"], r["bytes"], r["sha256"])], "file string, bytes int, sha256 string").select(F.to_json(F.struct("*"))).first()[0]
+        for end, text in ((".quarantine", r["value"]), (".json", entry)):
+            with contextlib.suppress(FileExistsError):  # made by a repair that stopped halfway
+                create_once(spark, name + end, text)
+        good = rows.where((F.col("file") == r["file"]) & (F.col("status") == "record"))
+        good.coalesce(1).sortWithinPartitions("line_no").select("value").write.mode("overwrite").text(f"{name}.good")
+        _finish(fs, path_of, r["file"], f"{name}.good")
+        out.append((r["file"], r["bytes"], r["sha256"]))
+    return out

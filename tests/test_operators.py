@@ -409,3 +409,25 @@ def test_percentiles(spark):
     for g in ("a", "b", "c", None):
         want = np.percentile([x for k, x in rows if k == g], [10, 75])
         assert np.allclose(got[g], want, rtol=1e-12)
+
+
+def test_repair_of_last_lines(spark, tmp_path, monkeypatch):
+    log, journal = tmp_path / "log", str(tmp_path / "journal")
+    log.mkdir()
+    (log / "a.jsonl").write_text('{"k": 1}\n{"k": 2}\n{"k"')
+    (log / "b.jsonl").write_text('{"k": 3}\n')
+    again = lambda: records.recover_tails(spark, str(log / "*.jsonl"), "k INT", journal)
+    with monkeypatch.context() as m:  # the writer dies with the repaired lines written, the old file still there
+        m.setattr(records, "_finish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            again()
+    assert (log / "a.jsonl").read_text().endswith('{"k"')
+    (log / "a.jsonl").unlink()  # or gone already
+    assert again() == [] and (log / "a.jsonl").read_text() == '{"k": 1}\n{"k": 2}\n'
+    assert sorted(p.suffix for p in (tmp_path / "journal").iterdir() if not p.name.startswith(".")) == [".json", ".quarantine"]
+    (log / "b.jsonl").write_text('{"k": 3}\nnonsense')
+    got = again()
+    assert [(f.rsplit("/", 1)[1], n) for f, n, _ in got] == [("b.jsonl", 8)] and (log / "b.jsonl").read_text() == '{"k": 3}\n' and again() == []
+    (log / "c.jsonl").write_text('{"k": \n{"k": 3}\n')
+    with pytest.raises(Exception, match="malformed JSON"):
+        again()

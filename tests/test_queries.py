@@ -24,6 +24,5 @@ def test_query(spark, duck, name):
 
 def test_all_operators_have_a_query():
     spans = {"src": 14, "val": 16, "sel": 12, "jn": 12, "agg": 35, "bst": 12, "win": 10, "srt": 7, "set": 5, "fn": 30, "ana": 16, "cov": 7, "evt": 8}
-    # evt07 repairs files in place, which is storage, not a query; its detection is src01.
-    want = {f"{k}{i:02d}" for k, n in spans.items() for i in range(1, n + 1)} - {"evt07"}
+    want = {f"{k}{i:02d}" for k, n in spans.items() for i in range(1, n + 1)}
     assert want <= set(queries())
