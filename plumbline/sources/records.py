@@ -126,7 +126,11 @@ def read_csv(spark: SparkSession, path: str, contract: dict[str, tuple[str, bool
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Writes beside the path, reads back and compares, then renames; never over what is there."""
+    """Writes beside the path, reads back and compares, then renames; never over what is there.
+
+    The check and the rename are two steps: on a store without atomic renames a second writer could come
+    in between, so one writer at a time publishes to a path there.
+    """
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     if fs.exists(target):
