@@ -93,14 +93,18 @@ def _dummies(column, levels):
     return [(F.col(column) == x).cast("double") for x in levels[1:]]
 
 
-@query("agg23_dummies")
+_EACH = f"""se AS (SELECT subject, list_position([{', '.join(repr(x) for x in scalars.SUBJECTS)}], subject) - 1 AS s, regr_intercept(h_mean, n_think) AS a, regr_slope(h_mean, n_think) AS b, count(*) * (var_pop(h_mean) - covar_pop(h_mean, n_think) * covar_pop(h_mean, n_think) / var_pop(n_think)) AS sse FROM nat GROUP BY subject),
+fit AS (SELECT 1 - sum(sse) / (SELECT count(*) * var_pop(h_mean) FROM nat) AS r2, max(a) FILTER (s = 0) AS a0, max(b) FILTER (s = 0) AS b0 FROM se)"""
+
+
+@query("agg23_dummies", f"{_EACH} SELECT CAST(term AS INT) AS term, round(beta, 6) + 0 AS beta, round(r2, 6) AS r2 FROM (SELECT 0 AS term, a0 AS beta FROM fit UNION ALL SELECT 1, b0 FROM fit UNION ALL SELECT 1 + s, a - a0 FROM se, fit WHERE s > 0 UNION ALL SELECT 5 + s, b - b0 FROM se, fit WHERE s > 0), fit")
 def agg23_dummies(t):
     """Least squares with subject dummies and their interaction with length."""
     d = _dummies("subject", scalars.SUBJECTS)
     terms = [F.lit(1.0), F.col("n_think"), *d, *[x * F.col("n_think") for x in d]]
     beta, r2 = stats.ols(t.nat, terms, F.col("h_mean"))
-    rows = [(i, round(float(b), 6), round(r2, 6)) for i, b in enumerate(beta)]
-    return t.spark.createDataFrame(rows, "term int, beta double, r2 double")
+    rows = t.spark.createDataFrame([(i, float(b), float(r2)) for i, b in enumerate(beta)], "term int, beta double, r2 double")
+    return rows.select("term", r("beta", "beta", 6), r("r2", "r2", 6))
 
 
 _RES = "rs AS (SELECT correct AS y, h_mean - (SELECT regr_intercept(h_mean, n_think) FROM ev) - (SELECT regr_slope(h_mean, n_think) FROM ev) * n_think AS x FROM ev)"

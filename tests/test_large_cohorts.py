@@ -62,3 +62,35 @@ def test_shared_plan_beyond_the_bounds(spark, monkeypatch, bound):
     for fx, r in got.items():  # other draws, the same statistic
         assert abs(r["valid"] - want[fx]["valid"]) < 50
         assert r["lo"] is None or want[fx]["lo"] is None or (abs(r["lo"] - want[fx]["lo"]) < 0.1 and abs(r["hi"] - want[fx]["hi"]) < 0.1)
+
+
+def test_plan_of_one_generator_against_plain_draws(spark):
+    """bst01: replicate by replicate, subject by subject, from one generator."""
+    pools = {}
+    for s, q in sorted({(r["subject"], r["qid"]) for r in Tables(spark, FOLDER).ev.select("subject", "qid").collect()}):
+        pools.setdefault(s, []).append(q)
+    rng, want = np.random.default_rng(42), set()
+    for replicate in range(10):
+        position = 0
+        for pool in pools.values():
+            for at in rng.integers(0, len(pool), len(pool)):
+                want.add((replicate, position, pool[at]))
+                position += 1
+    assert {tuple(r) for r in queries()["bst01"](spark, FOLDER).collect()} == want
+
+
+@pytest.mark.parametrize(("name", "statistic", "replicates"), [("bst10", "means", 200), ("bst11", "areas", 200), ("bst12", "refit", 100)])
+def test_physical_resampling_against_plain_copies(spark, name, statistic, replicates):
+    pdf = ranking._figure_rows(Tables(spark, FOLDER))
+    first = list(dict.fromkeys(pdf["qid"]))
+    stratum = dict(zip(pdf["qid"], pdf["subject"], strict=True))
+    rng, stat, wide = np.random.default_rng(42), getattr(ranking, statistic), []
+    for _ in range(replicates):
+        drawn = []
+        for s in sorted(set(stratum.values())):
+            pool = [q for q in first if stratum[q] == s]
+            drawn += [pool[k] for k in rng.integers(0, len(pool), len(pool))]
+        wide.append(stat(pdf.iloc[[i for q in drawn for i in np.flatnonzero(pdf["qid"] == q)]]))
+    got = sorted(queries()[name](spark, FOLDER).collect())
+    want = zip(stat(pdf), np.nanpercentile(wide, 2.5, axis=0), np.nanpercentile(wide, 97.5, axis=0), strict=True)
+    np.testing.assert_allclose([list(r)[1:] for r in got], list(want), rtol=0, atol=1e-9)
