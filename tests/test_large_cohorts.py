@@ -94,3 +94,16 @@ def test_physical_resampling_against_plain_copies(spark, name, statistic, replic
     got = sorted(queries()[name](spark, FOLDER).collect())
     want = zip(stat(pdf), np.nanpercentile(wide, 2.5, axis=0), np.nanpercentile(wide, 97.5, axis=0), strict=True)
     np.testing.assert_allclose([list(r)[1:] for r in got], list(want), rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["bst10"])
+def test_no_row_of_a_large_cohort_comes_to_the_driver(spark, small_bounds, monkeypatch, name):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(self, *args, **kwargs):
+        raise AssertionError("rows were fetched")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    monkeypatch.setattr(bootstrap, "weighted_rows", refuse)  # a row a replicate
+    got = queries()[name](spark, FOLDER).collect()
+    assert sorted(r["k"] for r in got) == [0, 1, 2]
