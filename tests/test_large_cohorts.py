@@ -96,7 +96,7 @@ def test_physical_resampling_against_plain_copies(spark, name, statistic, replic
     np.testing.assert_allclose([list(r)[1:] for r in got], list(want), rtol=0, atol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["bst10"])
+@pytest.mark.parametrize("name", ["bst10", "bst11"])
 def test_no_row_of_a_large_cohort_comes_to_the_driver(spark, small_bounds, monkeypatch, name):
     from pyspark.sql.classic.dataframe import DataFrame
 
@@ -107,3 +107,30 @@ def test_no_row_of_a_large_cohort_comes_to_the_driver(spark, small_bounds, monke
     monkeypatch.setattr(bootstrap, "weighted_rows", refuse)  # a row a replicate
     got = queries()[name](spark, FOLDER).collect()
     assert sorted(r["k"] for r in got) == [0, 1, 2]
+
+
+def test_areas_by_vectors_whatever_the_parts(spark, monkeypatch):
+    """Ties across batches and ranges, missing, infinite and signed zero values, a column without any value."""
+    rng = np.random.default_rng(8)
+    rows = [(int(q % 3), int(q), bool(rng.integers(2)), float(rng.choice([-1.0, -0.0, 0.0, 0.5, 2.0, np.nan, np.inf])), float(rng.random()), None) for q in rng.integers(0, 40, 600)]
+    rows += [(2, 99, True, None, None, None)]
+    df = spark.createDataFrame(rows, "s int, q int, y boolean, a double, b double, c double")
+    plan = {(r["replicate"], r["q"]): r["m"] for r in bootstrap.hashed_draws(df, "s", "q", 20).collect()}
+    want = {}
+    for k in range(3):
+        used = sorted((r[3 + k], r[2], r[1]) for r in rows if r[3 + k] is not None and np.isfinite(r[3 + k]))
+        x, y = np.array([u[0] for u in used]), np.array([u[1] for u in used], bool)
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(x) != 0))) if used else []
+        for i in range(-1, 20):
+            w = np.array([1 if i < 0 else plan.get((i, u[2]), 0) for u in used], np.int64)
+            want[k, i] = bootstrap.weighted_auroc(y, np.arange(len(x)), starts, w) if used else np.nan
+    monkeypatch.setattr(bootstrap, "ROWS_AT_ONCE", 50)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["k"], r["replicate"]): r["auroc"] for r in bootstrap.weighted_areas(df, "s", "q", "y", ["a", "b", "c"], 20).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.keys() == want.keys()
+    for key, v in want.items():
+        assert (got[key] is None and np.isnan(v)) or abs(got[key] - v) < 1e-12
