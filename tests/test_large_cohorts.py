@@ -134,3 +134,15 @@ def test_areas_by_vectors_whatever_the_parts(spark, monkeypatch):
     assert got.keys() == want.keys()
     for key, v in want.items():
         assert (got[key] is None and np.isnan(v)) or abs(got[key] - v) < 1e-12
+
+
+def test_places_of_questions_beyond_the_type_of_the_plan(spark, monkeypatch):
+    """bst01: a subject's draws fit 8 bits, a place among all questions does not."""
+    pools = {"a": list(range(200)), "b": list(range(1000, 1200))}
+    monkeypatch.setattr(ranking, "_questions", lambda t: (pools, 0))
+    plan = bootstrap.draw_plan(pools, 10)
+    assert plan.dtype == np.uint8
+    want = {(i, k, (pools["a"] if k < 200 else pools["b"])[int(plan[i, k])]) for i in range(10) for k in range(400)}
+    got = queries()["bst01"](spark, FOLDER)
+    assert [x[1] for x in got.dtypes] == ["int", "int", "bigint"]
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 4000
