@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plumbline.operators import bootstrap
+from plumbline.operators import bootstrap, rank
 from plumbline.plans import ranking
 from plumbline.plans.catalog import queries
 from plumbline.plans.domain import Tables
@@ -146,3 +146,19 @@ def test_places_of_questions_beyond_the_type_of_the_plan(spark, monkeypatch):
     got = queries()["bst01"](spark, FOLDER)
     assert [x[1] for x in got.dtypes] == ["int", "int", "bigint"]
     assert {tuple(r) for r in got.collect()} == want and got.count() == 4000
+
+
+def test_every_draw_of_a_large_plan_is_written_out(spark, monkeypatch):
+    """bst05: 120,000 draws, over ranges of questions."""
+    sizes = {"a": 10_000, "b": 20_000}
+    rows = spark.range(30_000).selectExpr("id as qid", "if(id < 10000, 'a', 'b') as subject")
+    monkeypatch.setattr(Tables, "ev", rows)
+    monkeypatch.setattr(rank, "WHOLE", 1000)
+    want = []
+    for one in bootstrap.hashed_draws(rows, "subject", "qid", 4).toPandas().sort_values("qid").groupby(["replicate", "subject"]):
+        (replicate, subject), g = one
+        names = np.repeat(g["qid"], g["m"])
+        assert len(names) == sizes[subject]
+        want += [(f"bootstrap-r{replicate:06d}-s{'ab'.index(subject):02d}-d{d:06d}", replicate, subject, q) for d, q in enumerate(names)]
+    got = queries()["bst05"](spark, FOLDER).toPandas()
+    assert len(got) == 120_000 and set(got.itertuples(index=False, name=None)) == set(want)
