@@ -2,10 +2,10 @@
 
 The levels are windows of L words (half of the window asked for), 2L (that window), 4L, 8L, ...
 A window of one level is looked at only where the level below found a repeat in another
-document, so what is handled shrinks from level to level. Words go by the level of the window
-asked for, so ``result`` ends there, or before if no candidate survives; with ``longest`` the
-doubling goes on until none does, and tells how long the longest repeat of each document is
-(``longest_repeat``), which changes nothing in what is removed.
+document, so what is handled shrinks from level to level. The query goes on doubling until no
+candidate survives (``longest``), which tells how long the longest repeat of each document is
+(``longest_repeat``). Words go by the level of the window asked for, so a caller of ``result`` who
+wants nothing else may end there. What a level has written goes when the next one has its candidates.
 
 A level needs not all positions: of every window of 2L words, the L-word window in it with the
 least hash stands for it (its seed). Equal windows have equal seeds, so a window whose seed occurs
@@ -32,6 +32,7 @@ other name are left out of sight.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, stage
+from plumbline.llm.common import chunks, forget, stage, written
 from plumbline.llm.wordhash import BASES, Sums, Words
 
 WINDOW = 50
@@ -269,6 +270,7 @@ class Repeats:
     def _level(self, seeds: DataFrame, texts: DataFrame | None, words: int) -> tuple[DataFrame, DataFrame]:
         """(doc_id, thash, lo, hi, first, last): starts of repeated windows and the least and greatest document that has them; the texts they lie in."""
         # Aggregates are tables of their own: only a join of two exchanges can be split at a hot key.
+        begun = written()
         if texts is None:  # most seeds of the first level occur once: they go before anything is kept for a run
             shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed")
             seeds = stage(seeds.join(stage(shared, f"shared-{words}"), "seed"), f"seeds-{words}")
@@ -276,6 +278,7 @@ class Repeats:
         shared = classes.groupBy("seed").agg(F.min("first").alias("a"), F.max("last").alias("b"), (F.count(F.lit(1)) > 1).alias("more"))
         placed = seeds.join(classes, ["seed", "run"]).join(stage(shared.where("a < b").select("seed", "more"), f"several-{words}"), "seed")
         placed = stage(placed.select(*KEY, "lo", "hi", "first", "last", (F.col("more") & (F.col("doc_id") == F.col("first"))).alias("up")), f"placed-{words}")
+        forget(placed.sparkSession, begun, written() - 1)  # all but the last went into it
         if texts is None:
             texts = stage(self.docs.join(placed.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY), "windows-texts")
         up = placed.where("up").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "last")).alias("ranges"))
@@ -292,7 +295,8 @@ class Repeats:
         length, until no candidate survives or the level asked for is done.
         """
         seeds = self.scan.where("doc_id is not null and size(seeds) > 0").select(*KEY, F.inline("seeds"))
-        words, found = self.window, None
+        spark = self.docs.sparkSession
+        words, found, begun = self.window, None, None
         starts, texts = self._level(seeds, None, words)
         remove = starts.where("doc_id > first").select(*KEY, "lo", "hi")
         if not longest:
@@ -300,6 +304,11 @@ class Repeats:
         while True:
             ranges = starts.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
             ranges = stage(ranges.mapInArrow(_islands(words), "doc_id BIGINT, thash BIGINT, ranges ARRAY<STRUCT<lo: INT, hi: INT>>, covered BIGINT"), f"candidates-{words}")
+            if begun is not None:  # what is removed still reads the first level
+                forget(spark, begun, written() - 1)
+            starts = seeds = None
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # shuffle files of a level that is done go with the frames that made them
             here = ranges.select(*KEY, F.lit(words).cast("bigint").alias("words"))
             found = here if found is None else found.unionByName(here)
             words *= 2
@@ -310,6 +319,7 @@ class Repeats:
                     pieces = rows.mapInArrow(_pieces(words), "doc_id BIGINT, thash BIGINT, words BINARY").repartition(1)
                     found = found.unionByName(stage(pieces.mapInArrow(_double(words), "doc_id BIGINT, thash BIGINT, words BIGINT"), "repeats-rest"))
                 return remove, texts, found.groupBy(*KEY).agg(F.max("words").alias("longest_repeat"))
+            begun = written()
             seeds = stage(rows.mapInArrow(_extend(words), f"doc_id BIGINT, thash BIGINT, {RUN}"), f"extended-{words}")
             starts, texts = self._level(seeds, texts, words)
 
@@ -327,7 +337,7 @@ class Repeats:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).result().select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return Repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).result(longest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def sql(most: int = 0) -> str:

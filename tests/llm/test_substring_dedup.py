@@ -142,3 +142,18 @@ def test_sums_modulo_the_prime():
         assert sums.spans(a, b)[k] == want
     big = np.array([wordhash.PRIME - 1, 1, 1 << 60], np.uint64)
     assert wordhash.product(big, big).tolist() == [int(x) ** 2 % wordhash.PRIME for x in big.tolist()]
+
+
+def test_the_query_doubles_until_none_survives(spark, docs, tmp_path, monkeypatch):
+    from plumbline.llm import substring_dedup
+
+    rng = random.Random(11)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    rows = [(1, " ".join(w)), (2, " ".join(["x", *w[:450]])), (3, " ".join([*w[700:760], "y"]))]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, level = [], Repeats._level
+    monkeypatch.setattr(Repeats, "_level", lambda self, seeds, texts, words: (seen.append(words), level(self, seeds, texts, words))[1])
+    monkeypatch.setattr(Repeats.__init__, "__defaults__", (*Repeats.__init__.__defaults__[:-1], 0))  # no level in one task
+    got = substring_dedup.query(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(*x[:3], x[4]) for x in brute(rows, 50)]
+    assert seen == [50, 100, 200, 400]  # a window of 800 words has no candidate
