@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -70,6 +71,12 @@ def forget(spark: SparkSession, start: int, end: int) -> None:
         delete(spark, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets shuffle files go: they stay until the driver collects the frames that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a path of the shared folder."""
     jvm = spark.sparkContext._jvm

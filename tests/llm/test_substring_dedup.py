@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -157,3 +158,30 @@ def test_the_query_doubles_until_none_survives(spark, docs, tmp_path, monkeypatc
     got = substring_dedup.query(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [(*x[:3], x[4]) for x in brute(rows, 50)]
     assert seen == [50, 100, 200, 400]  # a window of 800 words has no candidate
+
+
+def test_higher_levels_take_a_stretch_of_words_once(docs, monkeypatch):
+    from plumbline.llm import common, substring_dedup
+
+    rng = random.Random(12)
+    w = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = w(120)
+    rows = [(i, f"{w(60)} {passage} {w(60)}") for i in range(20)] + [(30, w(90)), (31, w(70)), (31, rng.choice(["x", "y"]))]
+    seen, stage = {}, substring_dedup.stage
+
+    def spy(df, name):
+        out = stage(df, name)
+        seen[name] = (out.count(), common._paths[-1])
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stage", spy)
+    assert found(docs(rows), 50, few=0) == brute(rows, 50)
+    assert seen["pieces-100"][0] == 1  # not the texts of 20 documents
+    assert not any(os.path.exists(seen[x][1]) for x in ("windows-scan", "seeds-50", "windows-texts", "windows-50", "extended-100"))
+
+
+def test_a_piece_in_two_documents_still_meets_other_pieces(docs):
+    rng = random.Random(13)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = [(1, " ".join(w[:40])), (2, " ".join(w[:40])), (3, " ".join([*w[4:40], "x", *w[:10]])), (4, " ".join(w[20:80])), (5, " ".join(["y", *w[36:80]])), (6, " ".join(w[:40] + ["z"] + w[:40])), (4, " ".join(w[20:80])), (0, " ".join(w[60:90]))]
+    assert found(docs(rows), 4) == found(docs(rows), 4, few=0) == brute(rows, 4)
